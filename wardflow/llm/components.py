@@ -26,5 +26,5 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
         large = both.join(low, "x").filter("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b"), "m"))).alias("p"))
-        e = materialize(small.select(F.col("p.a").alias("a"), F.col("p.m").alias("b")).filter("a <> b").distinct(), "edges")
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        e = materialize(small.filter("a <> b").distinct(), "edges")
