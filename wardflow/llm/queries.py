@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardflow.llm import copies, near
+from wardflow.llm import copies, lookalike, mixture, near, overlap, pieces
 from wardflow.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,55 @@ def p1_copy_counts(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_groups(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@_query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.cut_found(read(spark, sf, "extracted_content", "content_id", "visible_text"))
+
+
+@_query
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.split_oversized(read(spark, sf, "extracted_content", "content_id", "visible_text"))
+
+
+@_query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    content = lookalike.lookalike_pairs(read(spark, sf, "extracted_content", "content_id", "visible_text"), "content_id", "visible_text")
+    samples = lookalike.lookalike_pairs(read(spark, sf, "training_samples", "sample_id", "text"), "sample_id", "text")
+    return content.withColumn("tbl", F.lit("extracted_content")).unionByName(samples.withColumn("tbl", F.lit("training_samples"))).select("tbl", "id_a", "id_b")
+
+
+@_query
+def p4_content_form(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.normalized(read(spark, sf, "extracted_content", "content_id", "visible_text"), "content_id", "visible_text")
+
+
+@_query
+def p4_sample_form(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.normalized(read(spark, sf, "training_samples", "sample_id", "text"), "sample_id", "text")
+
+
+@_query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.split_overlaps(read(spark, sf, "training_samples", "sample_id", "text", "split_name"))
+
+
+@_query
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_report(read(spark, sf, "training_samples", "sample_id", "text", "split_name", "source"))
+
+
+@_query
+def p6_taken(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.draw(read(spark, sf, "training_samples"), read(spark, sf, "mix_targets"))
+
+
+@_query
+def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.shares(read(spark, sf, "training_samples"), read(spark, sf, "mix_targets"))
+
+
+@_query
+def p6_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mix(read(spark, sf, "training_samples"), read(spark, sf, "mix_targets"))
