@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import copies, lookalike, mixture, near, overlap, pieces
+from wardflow.llm import copies, encode, lookalike, mixture, near, overlap, packing, pieces
 from wardflow.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,13 @@ def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def p6_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mix(read(spark, sf, "training_samples"), read(spark, sf, "mix_targets"))
+
+
+@_query
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.encode_corpus(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@_query
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(encode.token_counts(read(spark, sf, "documents", "doc_id", "text")))
