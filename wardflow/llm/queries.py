@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import copies, encode, lookalike, mixture, near, overlap, packing, pieces
+from wardflow.llm import copies, encode, lookalike, mixture, near, overlap, packing, pieces, subjects
 from wardflow.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,17 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(encode.token_counts(read(spark, sf, "documents", "doc_id", "text")))
+
+
+@_query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    of = subjects.document_subjects(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "subject_examples"))
+    return of.select("doc_id", F.explode("subjects").alias("subject"))
+
+
+@_query
+def p9_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by number of subjects and subject; a document of two counts for both."""
+    of = subjects.document_subjects(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "subject_examples"))
+    rows = of.select(F.size("subjects").alias("n_subjects"), F.explode_outer("subjects").alias("subject"))
+    return rows.groupBy("n_subjects", "subject").agg(F.count(F.lit(1)).alias("n_documents"))
