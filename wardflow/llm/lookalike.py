@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata as ud
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -33,6 +33,9 @@ LOOKALIKES = dict(
 )
 #: Hyphens drawn alike, and the ellipsis that is three dots.
 _SIGNS = {"\u2010": "-", "\u2011": "-", "\u2026": "..."}
+#: Ranges of common characters that are all stable: ASCII without carriage return, the Latin letters of
+#: Europe with their accents, Kana, and the usual Kanji.
+STABLE = r"\x00-\x0C\x0E-\x7F\u00A1-\u00AC\u00AE-\u017F\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u30FC\u4E00-\u9FFF"
 #: Scripts in which joiners change how letters are drawn.
 _JOINING = re.compile(r"[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u17ff\u1800-\u18af]")
 _EMOJI = re.compile(r"[\u2600-\u27bf\u2b00-\u2bff\ufe0f\U0001f000-\U0001faff]")
@@ -91,9 +94,7 @@ def _tables() -> tuple[re.Pattern, dict[int, str]]:
         if b != a + 1:
             ranges.append(f"\\U{start:08x}-\\U{a:08x}")
             start = b
-    kind = "[\\r" + "".join(ranges) + "]"
-    # One stable character before (what follows may combine with it, or \n follows \r) and one behind.
-    return re.compile(f"[^\\n]?{kind}+\\n?", re.DOTALL), folds
+    return re.compile("[" + "".join(ranges) + "]+"), folds
 
 
 def _shown_joiner(s: str, i: int) -> bool:
@@ -107,36 +108,64 @@ def _shown_joiner(s: str, i: int) -> bool:
     return s[i] in "\u200c\u200d" and bool(_JOINING.match(before)) and bool(_JOINING.match(behind))
 
 
-def _segment(match: re.Match) -> str:
-    text, s = match.string, match.group()
-    if s.isascii():
-        return s.replace("\r\n", "\n").replace("\r", "\n")
-    folds = _tables()[1]
+def _normal(s: str, behind: str) -> str:
+    """The form of a segment; ``behind``: the character after it, which decides whether a joiner shows."""
     if any(_invisible(c) for c in s):
-        wide = s + text[match.end() : match.end() + 1]
+        wide = s + behind
         s = "".join(c for i, c in enumerate(s) if not _invisible(c) or _shown_joiner(wide, i))
-    s = ud.normalize("NFD", s.translate(folds)).translate(folds)
-    return ud.normalize("NFC", s).replace("\r\n", "\n").replace("\r", "\n")
+    folds = _tables()[1]
+    return ud.normalize("NFC", ud.normalize("NFD", s.translate(folds)).translate(folds))
+
+
+class _Segments(dict):
+    """Forms of segments that end in no joiner, kept in a worker; bounded."""
+
+    def __missing__(self, s: str) -> str:
+        form = _normal(s, "")
+        if len(s) <= 32:
+            if len(self) >= 200_000:
+                self.clear()
+            self[s] = form
+        return form
+
+
+_KNOWN = _Segments()
 
 
 def visible_form(text: str) -> str:
     """The one form of ``text``; texts of the same form look the same."""
-    return _tables()[0].sub(_segment, text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    out, at = [], 0
+    for m in _tables()[0].finditer(text):
+        first, end = m.span()
+        if first > at:
+            first -= 1  # what follows may combine with the stable character before
+        segment = text[first:end]
+        if segment[-1] in "\u200c\u200d\ufe0f":
+            form = _normal(segment, text[end : end + 1])
+        else:
+            form = _KNOWN[segment]
+        out += (text[at:first], form)
+        at = end
+    if not at:
+        return text
+    out.append(text[at:])
+    return "".join(out)
 
 
 @F.pandas_udf(StringType())
 def _forms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    pattern = _tables()[0]
     for s in texts:
-        yield s.map(lambda t: None if t is None else pattern.sub(_segment, t), na_action="ignore")
+        yield s.map(lambda t: None if t is None else visible_form(t), na_action="ignore")
 
 
 def form(text: Column) -> Column:
     """The one form of a text column; null for null, empty for empty.
 
-    Texts of ASCII characters without carriage returns are stable as they are and never leave the JVM.
+    Texts of characters in STABLE are stable as they are and never leave the JVM.
     """
-    unstable = F.rlike(text, F.lit(r"[^\x00-\x0C\x0E-\x7F]"))
+    unstable = F.rlike(text, F.lit(f"[^{STABLE}]"))
     return F.when(unstable, _forms(F.when(unstable, text))).otherwise(text)
 
 
