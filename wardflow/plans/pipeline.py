@@ -51,12 +51,13 @@ def assess(df: DataFrame, name: str = "effective", config: Config = Config(), ne
 def findings_table(df: DataFrame) -> DataFrame:
     """One row for each finding of analyzed rows: input_id, module_name and the finding's fields."""
     modules = F.array(*[F.struct(F.lit(m).alias("module_name"), F.coalesce(F.col(m)["findings"], findings.none()).alias("findings")) for m in policy.present(df)])
-    rows = df.select("input_id", F.explode(modules).alias("m"))
-    return rows.select("input_id", "m.module_name", F.explode("m.findings").alias("f")).select("input_id", "module_name", "f.*")
+    # Outer forms, as the optimizer would derive filters from the others that evaluate all detectors again.
+    rows = df.select("input_id", F.explode_outer(modules).alias("m"))
+    return rows.select("input_id", "m.module_name", F.explode_outer("m.findings").alias("f")).filter("f IS NOT NULL").select("input_id", "module_name", "f.*")
 
 
 def module_results(df: DataFrame) -> DataFrame:
     """One row for each input and module: level, score, confidence, number of findings, details."""
     modules = F.array(*[F.col(m) for m in policy.present(df)])
-    rows = df.select("input_id", F.explode(modules).alias("m")).filter("m IS NOT NULL")
+    rows = df.select("input_id", F.explode_outer(modules).alias("m")).filter("m IS NOT NULL")
     return rows.select("input_id", "m.module_name", "m.risk_level", "m.risk_score", "m.confidence", F.size("m.findings").alias("n_findings"), "m.details")
