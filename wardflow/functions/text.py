@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.functions.literals import may_match
+
 #: The most characters that are scanned, kept or shown.
 REGEX_CAP, HTML_CAP, VISIBLE_CAP, ELEMENT_CAP = 200_000, 2_000_000, 500_000, 20_000
 CHUNK_CAP, ELEMENTS_CAP, PROMPT_CAP, INPUT_CAP = 100_000, 500, 20_000, 50_000
@@ -26,14 +28,18 @@ def hits(text: Column, pattern: str, cap: int | None = None, flags: str = "(?i)"
     return F.slice(found, 1, cap) if cap else found
 
 
-def any_of(text: Column, patterns: Sequence[str], flags: str = "(?i)") -> Column:
-    """Whether any pattern matches: one alternation, so that texts without a match are read once."""
-    return F.rlike(text, F.lit(flags + "|".join(f"(?:{p})" for p in patterns)))
+def any_of(text: Column, patterns: Sequence[str], flags: str = "(?i)", low: Column | None = None) -> Column:
+    """Whether any pattern matches: one alternation, only read where the literals of a pattern stand in ``low``."""
+    found = F.rlike(text, F.lit(flags + "|".join(f"(?:{p})" for p in patterns)))
+    may = may_match(F.lower(text) if low is None else low, patterns)
+    return found if may is None else may & found
 
 
-def count_of(text: Column, patterns: Sequence[str], flags: str = "") -> Column:
-    """Matches of the patterns joined to one alternation, leftmost first."""
-    return F.regexp_count(text, F.lit(flags + "|".join(patterns)))
+def count_of(low: Column, patterns: Sequence[str]) -> Column:
+    """Matches in a lower-cased text of the patterns joined to one alternation, leftmost first."""
+    n = F.regexp_count(low, F.lit("|".join(patterns)))
+    may = may_match(low, patterns)
+    return n if may is None else F.when(may, n).otherwise(0)
 
 
 def positions(text: Column, pattern: str, flags: str = "(?i)") -> Column:
@@ -118,7 +124,7 @@ def with_texts(df: DataFrame, visible: str = "visible", hidden: str = "hidden")
     glued = F.concat(F.col(visible), joined)
     lines = F.concat_ws("\n", F.col(visible), F.array_join(hidden, "\n"))
     return df.withColumns({"t_spaced": bounded(spaced), "t_glued": bounded(glued), "t_lines": bounded(lines)}).withColumns(
-        {"t_spaced_lower": F.lower("t_spaced"), "t_glued_lower": F.lower("t_glued")}
+        {"t_spaced_lower": F.lower("t_spaced"), "t_glued_lower": F.lower("t_glued"), "t_lines_lower": F.lower("t_lines")}
     )
 
 

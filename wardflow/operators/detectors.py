@@ -45,8 +45,8 @@ INTENT_FAMILIES = {
 
 def intent_signals(df: DataFrame) -> DataFrame:
     """Adds ``signals``: the findings of each family and how many descriptive markers stand in the text."""
-    parts = {k: f.find(F.col("t_spaced") if k == "link_action" else F.col("t_spaced_lower")) for k, f in INTENT_FAMILIES.items()}
-    markers = sum((F.rlike("t_spaced_lower", F.lit("(?i)" + p)).cast("int") for p in P.DESCRIPTIVE), F.lit(0))
+    parts = {k: f.find(F.col("t_spaced") if k == "link_action" else F.col("t_spaced_lower"), None, F.col("t_spaced_lower")) for k, f in INTENT_FAMILIES.items()}
+    markers = sum((T.any_of(F.col("t_spaced_lower"), [p], low=F.col("t_spaced_lower")).cast("int") for p in P.DESCRIPTIVE), F.lit(0))
     df = df.withColumn("signals", F.struct(*[v.alias(k) for k, v in parts.items()], markers.alias("descriptive")))
     s = F.col("signals")
     scores = F.struct(*[R.top(s[k]).alias(k) for k in parts], (s["descriptive"] * F.lit(0.2)).alias("descriptive"))
@@ -152,9 +152,9 @@ def hidden_findings(hidden: Column, visible: Column, strength: Column) -> Column
     scripts = F.filter(hidden, lambda h: F.contains(F.lower(h), F.lit("<script")))
     return F.concat(
         F.flatten(F.transform(hidden, by_keyword)),
-        F.flatten(F.transform(hidden, lambda h: OBFUSCATIONS.find(h, "hidden"))),
+        F.flatten(F.transform(hidden, lambda h: OBFUSCATIONS.find(h, "hidden", F.lower(h)))),
         anomaly,
-        F.flatten(F.transform(scripts, lambda h: SCRIPTS.find(h, "script"))),
+        F.flatten(F.transform(scripts, lambda h: SCRIPTS.find(h, "script", F.lower(h)))),
     )
 
 
@@ -193,16 +193,17 @@ def injection_parts(df: DataFrame) -> DataFrame:
     visible = T.bounded(F.col("visible"), T.CHUNK_CAP)
     hidden = F.transform(F.slice("hidden", 1, T.ELEMENTS_CAP), lambda h: T.bounded(h, T.CHUNK_CAP))
     df = df.withColumn("chunks", F.struct(visible.alias("v"), hidden.alias("h")))
-    v, h = F.col("chunks.v"), F.col("chunks.h")
-    both = T.bounded(F.concat(v, F.array_join(h, " ")))
-    df = df.withColumn("t_chunks", both)
+    both = T.bounded(F.concat(F.col("chunks.v"), F.array_join("chunks.h", " ")))
+    df = df.withColumn("t_chunks", both).withColumn("t_chunks_lower", F.lower("t_chunks")).withColumn("chunks_low", F.struct(F.lower("chunks.v").alias("v"), F.transform("chunks.h", F.lower).alias("h")))
+    low = F.col("chunks_low")
 
     def each(family: Family) -> Column:
-        return F.concat(family.find(F.lower(v), "visible"), F.flatten(F.transform(h, lambda x: family.find(F.lower(x), "hidden"))))
+        return F.concat(family.find(low["v"], "visible"), F.flatten(F.transform(low["h"], lambda x: family.find(x, "hidden"))))
 
-    repeated = F.regexp_count(F.lower("t_chunks"), F.lit(REPETITION))
+    all_low = F.col("t_chunks_lower")
+    repeated = T.count_of(all_low, [REPETITION])
     repetition = F.when(repeated >= 3, F.array(R.finding("repetition_attack", "repetition_detector", "medium", 0.65, None, None, repeated.cast("string")))).otherwise(R.none())
-    parts = {"patterns": each(INJECTION), "switches": SWITCH.find(F.col("t_chunks")), "roles": each(ROLE), "structure": F.concat(QUOTE.find(F.col("t_chunks")), repetition)}
+    parts = {"patterns": each(INJECTION), "switches": SWITCH.find(F.col("t_chunks"), None, all_low), "roles": each(ROLE), "structure": F.concat(QUOTE.find(F.col("t_chunks"), None, all_low), repetition)}
     return df.withColumn("inj", F.struct(*[c.alias(k) for k, c in parts.items()]))
 
 
@@ -341,7 +342,8 @@ def language_switch(text: Column) -> Column:
         F.when((F.regexp_instr(text, F.lit(p)) > 0) & (F.length(F.trim(F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(p)) - 1))) > 20), R.finding("language_switch", "houyi_pattern_detector", "medium", None))
         for p in P.LANGUAGES
     ]
-    return F.slice(F.array_compact(F.array(*rows)), 1, 1)
+    foreign = F.rlike(text, F.lit("[" + "".join(p[1:-2] for p in P.LANGUAGES) + "]"))
+    return F.when(foreign, F.slice(F.array_compact(F.array(*rows)), 1, 1)).otherwise(R.none())
 
 
 def topic_drift(text: Column) -> Column:
@@ -359,16 +361,16 @@ def topic_drift(text: Column) -> Column:
 
 def hijack_parts(df: DataFrame) -> DataFrame:
     """Adds ``hou``: findings of each component and the drift (0 unless it is above 0.6 and there is a separator)."""
-    text = F.col("t_lines")
+    text, low = F.col("t_lines"), F.col("t_lines_lower")
     parts = split_sentences(text)
     half = F.array_join(F.slice(parts, F.lit(1), F.floor(F.size(parts) / 2).cast("int")), " ")
-    framework = F.when((F.size(parts) >= 3) & T.any_of(half, P.FRAMEWORK), F.array(R.finding("framework_component", "houyi_pattern_detector", "low", None))).otherwise(R.none())
-    separators = F.concat(SEPARATOR.find(text), CLOSURE.find(text), language_switch(text))
-    disruptors = F.concat(REDEFINING.find(text), LEAKING.find(text), SHAPING.find(text))
+    framework = F.when((F.size(parts) >= 3) & T.any_of(half, P.FRAMEWORK, low=low), F.array(R.finding("framework_component", "houyi_pattern_detector", "low", None))).otherwise(R.none())
+    separators = F.concat(SEPARATOR.find(text, None, low), CLOSURE.find(text, None, low), language_switch(text))
+    disruptors = F.concat(REDEFINING.find(text, None, low), LEAKING.find(text, None, low), SHAPING.find(text, None, low))
     df = df.withColumn("hou", F.struct(framework.alias("framework"), separators.alias("separators"), disruptors.alias("disruptors")))
     some = F.size("hou.separators") > 0
     drift = F.when(some, topic_drift(text)).otherwise(0.0)
-    retasking = F.when(some, RETASK.find(text)).otherwise(R.none())
+    retasking = F.when(some, RETASK.find(text, None, low)).otherwise(R.none())
     return df.withColumn("hou_more", F.struct(drift.alias("drift"), retasking.alias("retasking")))
 
 

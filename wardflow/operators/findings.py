@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardflow.functions import text as T
+from wardflow.functions.literals import may_match
 
 FINDING = "struct<type:string,detector:string,severity:string,risk_score:double,pattern:string,matched_text:string,label:string,channel:string>"
 FINDINGS = f"array<{FINDING}>"
@@ -50,8 +51,12 @@ class Family:
     scored: Callable[[Column], Column] | None = None
     shown: int = 1_000_000
 
-    def find(self, text: Column, channel: str | Column | None = None) -> Column:
-        """Findings in the order of the patterns, then of the text; empty for null text."""
+    def find(self, text: Column, channel: str | Column | None = None, low: Column | None = None) -> Column:
+        """Findings in the order of the patterns, then of the text; empty for null text.
+
+        ``low``: the text in lower case, if ``text`` isn't. A pattern is only tried where one of its literals stands.
+        """
+        low = text if low is None else low
 
         def one(pattern: str, score: float | None, label: str | None) -> Column:
             def row(m: Column) -> Column:
@@ -59,10 +64,14 @@ class Family:
                 severity = self.severity if isinstance(self.severity, str) else self.severity(score, m)
                 return finding(self.kind, self.detector, severity, value, pattern, F.left(m, F.lit(self.shown)), label, channel)
 
-            return F.transform(T.hits(text, pattern, self.most, self.flags), row)
+            found = F.transform(T.hits(text, pattern, self.most, self.flags), row)
+            may = may_match(low, [pattern])
+            return found if may is None else F.when(may, found).otherwise(none())
 
-        rows = [one(p, s, label) for p, s, label in self.patterns]
-        return F.when(T.any_of(text, [p for p, _, _ in self.patterns], self.flags), F.flatten(F.array(*rows))).otherwise(none())
+        every = F.flatten(F.array(*[one(p, s, label) for p, s, label in self.patterns]))
+        may = may_match(low, [p for p, _, _ in self.patterns])
+        given = text.isNotNull() if may is None else may
+        return F.when(given, every).otherwise(none())
 
     def count(self, text: Column) -> Column:
         return F.size(self.find(text))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardflow.functions.runtime import spread
+
 #: (visible, hidden): what is added behind the text, and as one more hidden element; empty hidden for none.
 PAYLOADS = (
     ("the weather in spring is mild. for example this shows a simple table. here is an example of rain.", ""),
@@ -38,6 +40,7 @@ def _choose(key: Column, values: tuple[str, ...]) -> Column:
 
 def plant(df: DataFrame, key: str, visible: Column, hidden: Column | None = None) -> DataFrame:
     """(input_id, visible, hidden, system_prompt)."""
+    df = spread(df)
     extra = _choose(F.col(key), tuple(h for _, h in PAYLOADS))
     base = F.transform(F.coalesce(hidden, F.array().cast("array<string>")), lambda h: F.coalesce(h, F.lit(""))) if hidden is not None else F.array().cast("array<string>")
     return df.select(
