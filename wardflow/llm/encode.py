@@ -46,6 +46,11 @@ class Encoder:
         self.compatible: dict[int, bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[str, int, int]]] = {}
         self.shorter: dict[int, int] = {}
+        self.on_path: dict[str, int] = {}
+        self.fitting: dict[int, int] = {}
+        self.size_of = [0] * (max(ranks.values()) + 1)
+        for b, r in ranks.items():
+            self.size_of[r] = len(b)
         self.pieces = _Pieces(self)
 
     def _last_merge(self, word: str) -> tuple[str, str]:
@@ -95,10 +100,13 @@ class Encoder:
     def _longest(self, text: str, at: int) -> int:
         """The longest token at a place."""
         ahead = text[at : at + self.widest]
-        n = self.automaton.longest_prefix(ahead)  # a path in the automaton; a token ends on it
-        ranks = self.ranks
-        while (token := ranks.get(ahead[:n])) is None:
-            n -= 1
+        path = ahead[: self.automaton.longest_prefix(ahead)]  # a path in the automaton
+        token = self.on_path.get(path)
+        if token is None:
+            n, ranks = len(path), self.ranks
+            while path[:n] not in ranks:
+                n -= 1
+            token = self.on_path[path] = ranks[path[:n]]
         return token
 
     def _shorter(self, token: int) -> int:
@@ -110,37 +118,46 @@ class Encoder:
             self.shorter[token] = known
         return known
 
+    def _fitting(self, last: int, token: int) -> int:
+        """The longest of a token and those that begin it that is compatible with the one before; -1 if none."""
+        while token >= 0 and not self._fits(last, token):
+            token = self._shorter(token)
+        return token
+
     def encode_piece(self, data: bytes) -> list[int]:
         text = data.decode("latin-1")
         whole = self.ranks.get(text)
         if whole is not None:
             return [whole]
-        size = len(text)
-        word_of, fits, compatible = self.word_of, self._fits, self.compatible
+        size, size_of, fitting = len(text), self.size_of, self.fitting
         dead: set[int] = set()  # places from which no valid rest was found
         out: list[int] = []
         at, last, token = 0, -1, self._longest(text, 0)
         while True:
-            end = at + len(word_of[token])
-            good = end not in dead
-            if good and last >= 0:
-                good = compatible.get(last << 32 | token)
-                if good is None:
-                    good = fits(last, token)
-            if good:
-                out.append(token)
-                if end == size:
-                    return out
-                at, last = end, token
-                token = self._longest(text, at)
-                continue
-            token = self._shorter(token)
-            while token < 0:
+            if last >= 0 and token >= 0:
+                key = last << 32 | token
+                known = fitting.get(key)
+                if known is None:
+                    if len(fitting) >= 2 * _MEMO:
+                        fitting.clear()
+                    known = fitting[key] = self._fitting(last, token)
+                token = known
+            if token < 0:  # nothing fits here: the one before must be shorter
                 dead.add(at)
-                last = out.pop()
-                at -= len(word_of[last])
-                token = self._shorter(last)
+                token = out.pop()
+                at -= size_of[token]
+                token = self._shorter(token)
                 last = out[-1] if out else -1
+                continue
+            end = at + size_of[token]
+            if dead and end in dead:
+                token = self._shorter(token)
+                continue
+            out.append(token)
+            if end == size:
+                return out
+            at, last = end, token
+            token = self._longest(text, at)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
