@@ -33,7 +33,7 @@ _ADD = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _BIT_MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
 _ROW_MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
 #: Words kept with their hashes in a worker, and tokens signed at once; both only bound memory.
-_MEMO, _BLOCK = 200_000, 1 << 15
+_MEMO, _BLOCK = 200_000, 1 << 14
 
 SCHEMA = "id long, n int, m1 long, m2 long, " + ", ".join(f"s{i} long" for i in range(LONGS)) + ", keys array<long>"
 
@@ -86,8 +86,11 @@ def _sign(counts: list[Counter], memo: _Hashes) -> dict[str, np.ndarray]:
     x, starts = _tokens(counts, memo)
     docs = len(counts)
     low = np.empty((docs, SAMPLES), np.uint64)
+    hashed = np.empty_like(x)
     for i in range(SAMPLES):
-        low[:, i] = np.minimum.reduceat(x * _MUL[i] + _ADD[i], starts)
+        np.multiply(x, _MUL[i], out=hashed)
+        np.add(hashed, _ADD[i], out=hashed)
+        low[:, i] = np.minimum.reduceat(hashed, starts)
     bit = ((_mix(low) * _BIT_MUL) >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
     odd = np.bincount((bit + np.arange(docs)[:, None] * SKETCH_BITS).ravel(), minlength=docs * SKETCH_BITS) & 1
     longs = np.packbits(odd.astype(np.uint8).reshape(docs, SKETCH_BITS), axis=1).view(np.int64)
