@@ -183,8 +183,8 @@ def extract(df: DataFrame, raw_col: str = "raw", url_col: str | None = None) ->
     raw = T.bounded(F.col(raw_col), T.HTML_CAP)
     url = F.col(url_col) if url_col else F.lit(None).cast("string")
     is_html = F.coalesce(contains_html(raw), F.lit(False)) | (url.isNotNull() & raw.isNotNull())
-    df = df.withColumn("page", F.from_json(_read(F.when(is_html, raw), url), EXTRACTED))
-    p = F.col("page")
+    df = df.withColumn("_page", F.from_json(_read(F.when(is_html, raw), url), EXTRACTED))
+    p = F.col("_page")
     error = F.create_map(F.lit("error"), F.lit("no page"), F.lit("source"), url)
     plain = F.create_map(F.lit("input_type"), F.lit("plain_text"))
     metadata = F.when(p.isNotNull(), p["metadata"]).when(url.isNotNull() & raw.isNull(), error).otherwise(plain)
@@ -197,7 +197,7 @@ def extract(df: DataFrame, raw_col: str = "raw", url_col: str | None = None) ->
             "metadata": metadata,
             "raw_html": F.when(p.isNotNull(), raw),
         }
-    ).drop("page")
+    ).drop("_page")
 
 
 def resolve_pages(inputs: DataFrame, pages: DataFrame) -> DataFrame:

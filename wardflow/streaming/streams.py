@@ -32,7 +32,7 @@ def event_rates(events: DataFrame, time_col: str = "logged_at", size: str = "5 m
     """
     df = events.filter(F.col(time_col).isNotNull())
     if df.isStreaming:
-        df = df.withWatermark(time_col, late)
+        df = df.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
     if key:
         df = df.dropDuplicates([key, time_col])
     counted = df.groupBy(F.window(time_col, size), *by).agg(F.count(F.lit(1)).alias("n_events"))
