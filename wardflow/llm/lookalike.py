@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -160,18 +160,23 @@ def _forms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else visible_form(t), na_action="ignore")
 
 
-def form(text: Column) -> Column:
-    """The one form of a text column; null for null, empty for empty.
+def with_form(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``form``, the one form of a text column; null for null, empty for empty.
 
-    Texts of characters in STABLE are stable as they are and never leave the JVM.
+    Texts of characters in STABLE are stable as they are and never leave the JVM. Most are ASCII, which shows by
+    their lengths; only the others are searched for a character that isn't stable.
     """
-    unstable = F.rlike(text, F.lit(f"[^{STABLE}]"))
-    return F.when(unstable, _forms(F.when(unstable, text))).otherwise(text)
+    text = F.col(text_col)
+    wide = F.octet_length(text) > F.length(text)
+    unstable = F.contains(text, F.lit("\r")) | (wide & F.rlike(text, F.lit(f"[^{STABLE}]")))
+    df = df.withColumn("_unstable", F.coalesce(unstable, F.lit(False)))
+    form = F.when(F.col("_unstable"), _forms(F.when(F.col("_unstable"), text))).otherwise(text)
+    return df.withColumn("form", form).drop("_unstable")
 
 
 def normalized(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, form, changed) of every row; a null text has a null form and isn't changed."""
-    out = df.select(id_col, F.col(text_col).alias("text")).withColumn("form", form(F.col("text")))
+    out = with_form(df.select(id_col, F.col(text_col).alias("text")))
     return out.select(id_col, "form", F.coalesce(F.col("form") != F.col("text"), F.lit(False)).alias("changed"))
 
 
@@ -183,7 +188,7 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     never joined; only the rows of forms with several variants meet.
     """
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    out = out.withColumn("form", form(F.col("text"))).filter(F.rlike("form", F.lit(r"[^\s\p{Z}\p{C}]")))
+    out = with_form(out).filter(F.rlike("form", F.lit(r"[^\s\p{Z}\p{C}]")))
     keys = out.select("id", F.xxhash64("form").alias("k1"), F.xxhash64(F.lit(1), "form").alias("k2"), F.xxhash64("text").alias("v1"), F.xxhash64(F.lit(1), "text").alias("v2"))
     keys = materialize(keys, "forms")
     several = keys.groupBy("k1", "k2").agg(F.min(F.struct("v1", "v2")).alias("low"), F.max(F.struct("v1", "v2")).alias("high"))
