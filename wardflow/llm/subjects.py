@@ -22,25 +22,35 @@ from pyspark.sql import functions as F
 
 #: The subjects.
 SUBJECTS = ("science", "law", "sport", "software", "medicine", "cooking", "finance", "music")
-#: A longest run of letters; runs of Hiragana and of Kanji or Katakana are words of their own.
-TOKEN = re.compile(r"[\u3041-\u309f]+|[\u3005\u30a0-\u30ff\u4e00-\u9fff]+|[^\W\d_\u3005\u3041-\u30ff\u4e00-\u9fff]+")
+#: A longest run of letters that touches no digit, so that parts of codes are no words; runs of Hiragana and of
+#: Kanji or Katakana are words of their own.
+_KANA, _KANJI = r"\u3041-\u309f", r"\u3005\u30a0-\u30ff\u4e00-\u9fff"
+_LETTER = rf"[^\W\d_{_KANA}{_KANJI}]"
+TOKEN = re.compile(rf"[{_KANA}]+|[{_KANJI}]+|(?<![^\W_{_KANA}{_KANJI}]){_LETTER}++(?!\d)")
 #: What ends a sentence, and line ends.
 SENTENCE = re.compile(r"(?:[.!?\u2026]+[\"')\]]*(?=\s|$)|[\u3002\uff01\uff1f]|[\n\r])+")
 
 
+#: Log odds of an aside's frame at which a sentence is one: a single frame word is not enough.
+ASIDE_ODDS = 4.0
+
+
 @dataclass(frozen=True)
 class Parameters:
     #: Weights of bigram and unigram in the interpolation; the rest is the uniform floor.
     bigram: float = 0.25
     unigram: float = 0.65
+    #: Weight of the background in each subject's model, so that a word strange to a subject tells little against it.
+    background: float = 0.3
     #: Share of a word's (or pair's) occurrences that one subject must hold for it to be evidence.
     lead: float = 0.8
     #: Labelled rows used at most, by smallest id.
     max_examples: int = 20_000
     #: A word of the corpus joins the models if at least so many texts of one subject hold it, and one
-    #: subject has this share of them.
+    #: subject has this share of them. A word that twice as many hold leaves them if no subject has the lesser share.
     min_texts: int = 4
     min_purity: float = 0.75
+    least_purity: float = 0.6
     #: Words learned from the corpus at most, by number of texts; bounds what each worker gets.
     max_words: int = 50_000
     #: Parts of the cross-validation, and the values that it tries.
@@ -82,6 +92,11 @@ class _Counts:
             mine.update(its)
 
 
+def _mixed(ratio: float, p: Parameters) -> float:
+    """Log of a ratio to the background of a model that holds the background itself with weight ``background``."""
+    return math.log((1 - p.background) * ratio + p.background)
+
+
 def _fit(by_subject: dict[str, _Counts], p: Parameters) -> tuple[dict, dict]:
     """Log ratios of the interpolated models to the background, which is their sum."""
     every = _Counts()
@@ -103,7 +118,7 @@ def _fit(by_subject: dict[str, _Counts], p: Parameters) -> tuple[dict, dict]:
         if not speaks([by_subject[s].one[w] for s in SUBJECTS], n):
             continue
         ground = single(every, total, w)
-        words[w] = tuple(math.log(single(by_subject[s], totals[s], w) / ground) for s in SUBJECTS)
+        words[w] = tuple(_mixed(single(by_subject[s], totals[s], w) / ground, p) for s in SUBJECTS)
     pairs = {}
     for (v, w), n in every.two.items():
         if n > 1 and w in words and speaks([by_subject[s].two[v, w] for s in SUBJECTS], n):
@@ -111,7 +126,7 @@ def _fit(by_subject: dict[str, _Counts], p: Parameters) -> tuple[dict, dict]:
             ground = p.bigram * n / every.before[v] + single(every, total, w)
             rows = [(by_subject[s], totals[s]) for s in SUBJECTS]
             pairs[v, w] = tuple(
-                math.log((p.bigram * c.two[v, w] / max(1, c.before[v]) + single(c, t, w)) / ground) for c, t in rows
+                _mixed((p.bigram * c.two[v, w] / max(1, c.before[v]) + single(c, t, w)) / ground, p) for c, t in rows
             )
     return words, pairs
 
@@ -137,7 +152,7 @@ def _score(tokens: list[str], model: Model) -> tuple[int, float]:
 
 def _is_aside(tokens: list[str], model: Model) -> bool:
     get = model.asides.get
-    return sum(get(w, 0.0) for w in tokens) > 0 if model.asides else False
+    return sum(get(w, 0.0) for w in tokens) > ASIDE_ODDS if model.asides else False
 
 
 def tally(text: str, model: Model) -> list[tuple[int, float]]:
@@ -211,10 +226,15 @@ def train(examples: list[tuple[str, list[str]]], p: Parameters, learned: dict[st
     model.words, model.pairs = _fit(by_subject, p)
     model.asides = _asides(examples, model, p)
     for w, n in (learned or {}).items():
-        if w not in model.words:
-            every = sum(n)
+        every = sum(n)
+        if max(n) < p.least_purity * every:
+            model.words.pop(w, None)
+        elif w not in model.words or every >= 2 * p.min_texts:
             # The same ratio as that of a word of equal counts in subjects of equal size.
-            model.words[w] = tuple(math.log((k + 0.1) / (every / len(n) + 0.1)) for k in n)
+            model.words[w] = tuple(_mixed((k + 0.1) / (every / len(n) + 0.1), p) for k in n)
+    model.pairs = {k: v for k, v in model.pairs.items() if k[1] in model.words}
+    if learned:
+        model.asides = _asides(examples, model, p)
     return model
 
 
@@ -270,11 +290,13 @@ def _learn(model: Model):
 
 
 def learn(texts: DataFrame, model: Model, p: Parameters) -> dict[str, tuple[int, ...]]:
-    """Words of the whole corpus that one subject's texts hold, by counts over all texts that ``model`` gives one subject."""
+    """Words of the whole corpus that one subject's texts hold, and frequent ones that none does, by counts over all texts that ``model`` gives one subject."""
     sums = [F.sum(F.when(F.col("subject") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(SUBJECTS))]
     by_word = texts.mapInArrow(_learn(model), "word string, subject int, n int").groupBy("word").agg(F.sum("n").alias("n"), *sums)
     most = F.greatest(*[F.col(f"n{i}") for i in range(len(SUBJECTS))])
-    kept = by_word.filter((F.col("n") >= p.min_texts) & (most >= p.min_purity * F.col("n")))
+    pure = most >= p.min_purity * F.col("n")
+    frame = (F.col("n") >= 2 * p.min_texts) & (most < p.least_purity * F.col("n"))
+    kept = by_word.filter((F.col("n") >= p.min_texts) & (pure | frame))
     rows = kept.orderBy(F.desc("n"), "word").limit(p.max_words).collect()
     return {r["word"]: tuple(r[f"n{i}"] for i in range(len(SUBJECTS))) for r in rows}
 
