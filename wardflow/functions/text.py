@@ -72,6 +72,28 @@ def location(text: Column, start: Column, end: Column, channel: str | Column, ar
     )
 
 
+def html_location(tag: Column, element_id: Column, classes: Column, attribute: Column, style: Column, preview: Column) -> Column:
+    """Where a hidden element stands; classes are always an array."""
+    return F.struct(F.lit("hidden").alias("channel"), tag.alias("tag_name"), element_id.alias("tag_id"), classes.cast("array<string>").alias("tag_class"), attribute.alias("attribute_name"), style.alias("css_style"), F.left(preview, F.lit(50)).alias("context_before"))
+
+
+def pdf_location(page: Column, offset: Column) -> Column:
+    return F.struct(F.lit("pdf").alias("channel"), page.cast("int").alias("page_number"), offset.cast("int").alias("char_offset"))
+
+
+def ocr_location(box: Column) -> Column:
+    """The box of a recognised word, as numbers by name; null without one."""
+    names = ("left", "top", "width", "height", "conf")
+    keys = ("x", "y", "width", "height", "confidence")
+    pairs = [x for k, n in zip(keys, names) for x in (F.lit(k), box[n].cast("double"))]
+    return F.struct(F.lit("ocr").alias("channel"), F.when(box.isNotNull(), F.create_map(*pairs)).alias("bounding_box"))
+
+
+def encoded_location(encoding: Column, depth: Column, run: Column) -> Column:
+    """Where decoded content comes from: the encoding, its depth, and the beginning of the run."""
+    return F.struct(F.lit("decoded").alias("channel"), encoding.alias("encoding"), depth.cast("int").alias("depth"), F.left(run, F.lit(50)).alias("context_before"))
+
+
 def find_locations(text: Column, pattern: str, channel: str, flags: str = "(?i)") -> Column:
     """array<struct<location fields, matched>> of all matches."""
     return F.transform(

@@ -41,6 +41,11 @@ def metadata_features(metadata: Column) -> dict[str, Column]:
     return {"has_active_content": active, "hidden_text_ratio": F.coalesce(ratio, F.lit(0.0)), "metadata_risk": F.least(F.lit(1.0), signs * F.lit(0.2))}
 
 
+def metadata_map(text: Column) -> Column:
+    """Metadata given as JSON text, as a map of texts; null if it can't be read."""
+    return F.from_json(text, "map<string,string>")
+
+
 def text_features(text: Column, visible: Column, hidden: Column) -> dict[str, Column]:
     seen, unseen = F.length(visible), F.aggregate(hidden, F.lit(0), lambda n, h: n + F.length(h))
     urls = F.regexp_count(text, F.lit(P.URL))
