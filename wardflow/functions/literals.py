@@ -60,17 +60,30 @@ def literals(pattern: str) -> frozenset[str] | None:
     return frozenset(x for x in found if not any(y != x and y in x for y in found))
 
 
+def quoted(text: str) -> str:
+    """A literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def may_match_sql(low: str, patterns: Sequence[str]) -> str:
+    """The condition of :func:`may_match` as text, "true" if there is none."""
+    sets = [literals(p) for p in patterns]
+    if not all(sets):
+        return "true"
+    union = set().union(*sets)
+    return "(" + " OR ".join(f"contains({low}, {quoted(x)})" for x in sorted(union) if not any(y != x and y in x for y in union)) + ")"
+
+
 def may_match(low: Column, patterns: Sequence[str]) -> Column | None:
     """A condition on a lower-cased text that holds wherever a pattern matches; None if there is none."""
     sets = [literals(p) for p in patterns]
     if not all(sets):
         return None
+    name = low._jc.toString()
+    if re.fullmatch(r"t_\w+", name):  # one call to the JVM instead of one for each literal
+        return F.expr(may_match_sql(name, patterns))
     union = set().union(*sets)
     union = sorted(x for x in union if not any(y != x and y in x for y in union))
-    name = low._jc.toString()
-    if re.fullmatch(r"t_\w+", name) and all(re.fullmatch(r"[\w :/.=&!<|#-]+", x) for x in union):
-        # The same condition in one call to the JVM instead of one for each literal.
-        return F.expr(" OR ".join(f"contains({name}, '{x}')" for x in union))
     out = F.contains(low, F.lit(union[0]))
     for x in union[1:]:
         out = out | F.contains(low, F.lit(x))

@@ -195,10 +195,9 @@ def injection_parts(df: DataFrame) -> DataFrame:
     df = df.withColumn("chunks", F.struct(visible.alias("v"), hidden.alias("h")))
     both = T.bounded(F.concat(F.col("chunks.v"), F.array_join("chunks.h", " ")))
     df = df.withColumn("t_chunks", both).withColumn("t_chunks_lower", F.lower("t_chunks")).withColumn("chunks_low", F.struct(F.lower("chunks.v").alias("v"), F.transform("chunks.h", F.lower).alias("h")))
-    low = F.col("chunks_low")
 
     def each(family: Family) -> Column:
-        return F.concat(family.find(low["v"], "visible"), F.flatten(F.transform(low["h"], lambda x: family.find(x, "hidden"))))
+        return F.concat(F.expr(family.sql("chunks_low.v", "chunks_low.v", "visible")), family.find_each("chunks_low.h", "x", "hidden"))
 
     all_low = F.col("t_chunks_lower")
     repeated = T.count_of(all_low, [REPETITION])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardflow.functions import text as T
-from wardflow.functions.literals import may_match
+from wardflow.functions.literals import may_match, may_match_sql, quoted
 
 FINDING = "struct<type:string,detector:string,severity:string,risk_score:double,pattern:string,matched_text:string,label:string,channel:string>"
 FINDINGS = f"array<{FINDING}>"
@@ -57,6 +58,9 @@ class Family:
         ``low``: the text in lower case, if ``text`` isn't. A pattern is only tried where one of its literals stands.
         """
         low = text if low is None else low
+        names = text._jc.toString(), low._jc.toString()
+        if not self.scored and not isinstance(channel, Column) and all(re.fullmatch(r"t_\w+", n) for n in names):
+            return F.expr(self.sql(*names, channel))
 
         def one(pattern: str, score: float | None, label: str | None) -> Column:
             def row(m: Column) -> Column:
@@ -73,6 +77,25 @@ class Family:
         given = text.isNotNull() if may is None else may
         return F.when(given, every).otherwise(none())
 
+    def sql(self, text: str, low: str, channel: str | None = None) -> str:
+        """The same as one text of Spark SQL: plans of hundreds of patterns are built some ten times as fast."""
+        lit = lambda x: "CAST(NULL AS STRING)" if x is None else quoted(x)
+        none = f"CAST(array() AS {FINDINGS})"
+        parts = []
+        for pattern, score, label in self.patterns:
+            found = f"regexp_extract_all({text}, {quoted(self.flags + pattern)}, 0)"
+            if self.most:
+                found = f"slice({found}, 1, {self.most})"
+            severity = self.severity if isinstance(self.severity, str) else self.severity(score, None)
+            risk = "CAST(NULL AS DOUBLE)" if score is None else f"{score}D"
+            row = f"named_struct('type', {lit(self.kind)}, 'detector', {lit(self.detector)}, 'severity', {lit(severity)}, 'risk_score', {risk}, 'pattern', {lit(pattern)}, 'matched_text', left(m, {self.shown}), 'label', {lit(label)}, 'channel', {lit(channel)})"
+            parts.append(f"CASE WHEN {may_match_sql(low, [pattern])} THEN transform({found}, m -> {row}) ELSE {none} END")
+        return f"CASE WHEN {text} IS NOT NULL AND {may_match_sql(low, [p for p, _, _ in self.patterns])} THEN flatten(array({', '.join(parts)})) ELSE {none} END"
+
+    def find_each(self, elements: str, low: str, channel: str | None = None) -> Column:
+        """Findings of all elements of an array column, one element behind the other; ``low`` is SQL of an element ``x``."""
+        return F.expr(f"flatten(transform({elements}, x -> {self.sql('x', low, channel)}))")
+
     def count(self, text: Column) -> Column:
         return F.size(self.find(text))
 
