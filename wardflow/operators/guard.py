@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The lines that an agent's system prompt gets, by mode and by capability that is off.
+DISABLED = """ALL AUTONOMOUS ACTIONS ARE DISABLED.
+You are in READ-ONLY mode. You can only:
+- Read and analyze information
+- Answer questions
+- Provide explanations
+
+You CANNOT:
+- Execute code
+- Make web requests
+- Write files
+- Use tools or call APIs
+- Send emails or messages
+- Perform any side-effecting actions"""
+APPROVAL = ("HUMAN APPROVAL REQUIRED FOR ACTIONS.\nReason: ", "\n\nYou must inform the user that any action requires their explicit approval.")
+READ_ONLY = "READ-ONLY MODE ACTIVE.\nYou cannot perform write operations or side-effecting actions."
+OFF_LINES = (
+    ("allow_web_access", "- Web access is DISABLED. Do not attempt to make HTTP requests or access external URLs."),
+    ("allow_file_write", "- File write operations are DISABLED. Do not attempt to save, create, or modify files."),
+    ("allow_code_execution", "- Code execution is DISABLED. Do not generate or execute code snippets."),
+    ("allow_tool_use", "- Tool usage is DISABLED. Only respond with direct text answers."),
+)
 FIELDS = ("restriction_mode", "allow_web_access", "allow_file_write", "allow_code_execution", "allow_tool_use", "max_output_length", "allowed_domains", "blocked_patterns", "requires_approval", "approval_reason")
 
 
@@ -72,18 +94,11 @@ def prompt_addition(df: DataFrame) -> DataFrame:
     """Adds ``prompt_addition`` to rows of latest restrictions: the lines an agent's system prompt gets."""
     rule = F.lit("=" * 60)
     mode = F.col("restriction_mode")
-    disabled = "ALL AUTONOMOUS ACTIONS ARE DISABLED.\nYou are in READ-ONLY mode. You can only:\n- Read and analyze information\n- Answer questions\n- Provide explanations\n\nYou CANNOT:\n- Execute code\n- Make web requests\n- Write files\n- Use tools or call APIs\n- Send emails or messages\n- Perform any side-effecting actions"
-    off = F.concat_ws(
-        "\n",
-        F.when(~F.col("allow_web_access"), "- Web access is DISABLED. Do not attempt to make HTTP requests or access external URLs."),
-        F.when(~F.col("allow_file_write"), "- File write operations are DISABLED. Do not attempt to save, create, or modify files."),
-        F.when(~F.col("allow_code_execution"), "- Code execution is DISABLED. Do not generate or execute code snippets."),
-        F.when(~F.col("allow_tool_use"), "- Tool usage is DISABLED. Only respond with direct text answers."),
-    )
+    off = F.concat_ws("\n", *[F.when(~F.col(c), text) for c, text in OFF_LINES])
     body = (
-        F.when(mode == "ACTION_DISABLED", disabled)
-        .when(mode == "APPROVAL_REQUIRED", F.concat(F.lit("HUMAN APPROVAL REQUIRED FOR ACTIONS.\nReason: "), F.coalesce("approval_reason", F.lit("None")), F.lit("\n\nYou must inform the user that any action requires their explicit approval.")))
-        .when(mode == "READ_ONLY", "READ-ONLY MODE ACTIVE.\nYou cannot perform write operations or side-effecting actions.")
+        F.when(mode == "ACTION_DISABLED", DISABLED)
+        .when(mode == "APPROVAL_REQUIRED", F.concat(F.lit(APPROVAL[0]), F.coalesce("approval_reason", F.lit("None")), F.lit(APPROVAL[1])))
+        .when(mode == "READ_ONLY", READ_ONLY)
         .otherwise(F.when(off != "", off))
     )
     lines = F.concat_ws(

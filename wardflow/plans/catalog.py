@@ -1,4 +1,4 @@
-"""All queries of the reference operators by name, with their SQL where SQL can express them."""
+"""All core queries by name, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
