@@ -28,7 +28,7 @@ def _sides(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFra
 def _same(rows: DataFrame) -> DataFrame:
     """(id_t, id_e): train and evaluation rows equal after ignoring white space, letter case and punctuation."""
     keys = rows.withColumn("c", bare(F.col("text"))).filter(F.rlike("c", F.lit(r"[\p{L}\p{N}]")))
-    keys = keys.select("id", "train", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"))
+    keys = materialize(keys.select("id", "train", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2")), "keys")
     # Keys of one side only are dropped by counts that are partial before the shuffle.
     both = keys.groupBy("k1", "k2").agg(F.min("train").alias("low"), F.max("train").alias("high")).filter("high AND NOT low")
     keys = materialize(keys.join(both.select("k1", "k2"), ["k1", "k2"], "left_semi"), "same-keys")
