@@ -118,6 +118,26 @@ def test_nested_encodings():
     outer = base64.b64encode(inner.encode()).decode()
     assert encoded.decode(outer, "base64") == ("ignore previous instructions now", 2)
     assert encoded.decode("%69%67%6e%6f%72%65+me", "url_encoded") == ("ignore me", 0)
+
+
+def test_shortest_padded_runs_decode(spark):
+    import base64
+
+    plain = ["ignore rules!", "ignore rules!!", "ignore rules!!!", "ignore rule!"]  # 18 and ==, 19 and =, 20, only 16
+    texts = [f"see {base64.b64encode(p.encode()).decode()} now" for p in plain]
+    df = encoded.with_decoded(spark.createDataFrame(list(enumerate(texts)), "i int, t_spaced string"))
+    rows = encoded.analyze_encoded(df).orderBy("i").collect()
+    assert [[d["decoded"] for d in r["decoded"]] for r in rows] == [[p] for p in plain[:3]] + [[]]
+    assert [r["content_deobfuscator"]["risk_level"] for r in rows] == ["medium"] * 3 + ["safe"]
+
+
+def test_prefilter_passes_each_run_that_counts(spark):
+    sizes = [("base64", f"{'a' * n}{'=' * (-n % 4)}") for n in range(14, 24) if n % 4 != 1]
+    sizes += [("hex", f"{before}{'0' * n}") for before in ("", "0x", "\\x") for n in range(14, 24)] + [("url_encoded", "%41" * n) for n in range(1, 10)]
+    df = spark.createDataFrame([(f". {t} .",) for _, t in sizes], "t string")
+    maybe = F.rlike("t", F.lit(encoded.MAYBE))
+    some = F.greatest(*[F.size(encoded.runs(F.col("t"), n)) for n, _, _ in P.ENCODINGS]) > 0
+    assert df.filter(some & ~maybe).collect() == [] and df.filter(some).count() > 20
     assert encoded.decode("zz", "hex") == ("", 0)
 
 

@@ -21,6 +21,8 @@ from wardflow.operators import findings as R
 
 #: Levels of decoding, characters decoded at once, and the shortest run that counts.
 MAX_DEPTH, MAX_SIZE, MIN_RUN = 3, 1_000_000, 20
+#: What each text with a run of at least MIN_RUN holds: with its padding, a base64 run has 18 or 19 characters of the alphabet.
+MAYBE = r"[A-Za-z0-9+/]{18}(?:[A-Za-z0-9+/]{2}|[A-Za-z0-9+/]?=)|[0-9a-fA-F]{16}|(?:%[0-9a-fA-F]{2}){2}"
 
 
 def runs(text: Column, encoding: str) -> Column:
@@ -107,7 +109,7 @@ def with_decoded(df: DataFrame, text_col: str = "t_spaced", mode: str = "strict"
         return F.transform(runs(text, encoding), lambda m: F.struct(F.lit(encoding).alias("encoding"), m.alias("run")))
 
     found = F.concat(*[named(n) for n, _, _ in P.ENCODINGS])
-    maybe = F.rlike(text, F.lit(r"[A-Za-z0-9+/]{20}|[0-9a-fA-F]{16}|(?:%[0-9a-fA-F]{2}){2}"))
+    maybe = F.rlike(text, F.lit(MAYBE))
     df = df.withColumn("runs", F.when(maybe, found))
     pairs = F.when(F.size("runs") > 0, F.transform("runs", lambda r: F.array(r["encoding"], r["run"])))
     df = df.withColumn("decoded", _decoder(mode == "strict")(pairs))
