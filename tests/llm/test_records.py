@@ -259,6 +259,32 @@ def test_subjects(spark):
     assert subjects.document_subjects(df.limit(0), ex).count() == 0
 
 
+def test_learned_words_are_whole(spark):
+    rng = random.Random(14)
+    ex = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(examples(rng))], "example_id long, text string, subjects array<string>")
+    names = list(TERMS)
+    rows = [(i, made(rng, [names[i % 8]], unseen=True) + " Anna Berta Carla and Dora said so.") for i in range(160)]
+    rows += [(400 + i, f"Here one sees {s[:3]}omega and {s[:3]}omega in the old way.") for i, s in enumerate(names)]
+    rows += [(500, rows[-1][1]), (501, None), (502, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r["doc_id"]: set(r["subjects"]) for r in subjects.document_subjects(df, ex, p=subjects.Parameters(max_words=n)).collect()} for n in (3, 50_000))
+    assert few == many and len(few) == len(rows)
+    assert all(few[400 + i] == {s} for i, s in enumerate(names)) and few[500] == few[407]
+
+
+def test_learned_words_do_not_depend_on_size(spark):
+    rng = random.Random(15)
+    labelled = examples(rng)
+    model = subjects.train(labelled, subjects.Parameters())
+    vocabulary = {w for t, _ in labelled for x in subjects.sentences(t) for w in x}
+    texts = [made(rng, [s], unseen=True) + f" {s[:3]}rare" * (i < 5) + " mostly" * (i < 4 or s == "law" and i < 15) for s in TERMS for i in range(16)]
+    # Of 43 texts that hold it 15 are of law; one in five holders of "leaning" is of another subject, as chance gives it.
+    texts += [made(rng, ["law"]) + " leaning"] * 4 + [made(rng, ["music"]) + " leaning"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = {r["word"] for r in subjects.learn(df, model, vocabulary, subjects.Parameters()).filter("NOT known").collect()}
+    assert words == {f"{s[:3]}{x}" for s in TERMS for x in ("omega", "rare")}
+
+
 def test_subjects_without_examples(spark):
     ex = spark.createDataFrame([], "example_id long, text string, subjects array<string>")
     df = spark.createDataFrame([(1, "anything at all")], "doc_id long, text string")

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.functions.runtime import materialize
+
 #: The subjects.
 SUBJECTS = ("science", "law", "sport", "software", "medicine", "cooking", "finance", "music")
 #: A longest run of letters that touches no digit, so that parts of codes are no words; runs of Hiragana and of
@@ -46,12 +48,14 @@ class Parameters:
     lead: float = 0.8
     #: Labelled rows used at most, by smallest id.
     max_examples: int = 20_000
-    #: A word of the corpus joins the models if at least so many texts of one subject hold it, and one
-    #: subject has this share of them. A word that twice as many hold leaves them if no subject has the lesser share.
-    min_texts: int = 4
+    #: A word of the corpus joins the models if one subject has this share of the texts that hold it and chance doesn't
+    #: give that: twice the log-likelihood ratio of its counts to the subject's share of all texts is at least so much.
+    #: A word of the examples leaves them if no subject has the lesser share, also beyond chance.
     min_purity: float = 0.75
+    min_gain: float = 16.0
     least_purity: float = 0.6
-    #: Words learned from the corpus at most, by number of texts; bounds what each worker gets.
+    min_doubt: float = 2.7
+    #: Learned words that workers get as a whole; if there are more, those of a text are joined to it. None is dropped.
     max_words: int = 50_000
     #: Parts of the cross-validation, and the values that it tries.
     folds: int = 5
@@ -207,7 +211,17 @@ def _asides(examples: list[tuple[str, list[str]]], model: Model, p: Parameters)
     return out
 
 
-def train(examples: list[tuple[str, list[str]]], p: Parameters, learned: dict[str, tuple[int, ...]] | None = None) -> Model:
+#: Of words learned from the corpus, the texts of each subject that hold them and how far that is beyond chance.
+Learned = dict[str, tuple[tuple[int, ...], float]]
+
+
+def _ratios(counts: tuple[int, ...], p: Parameters) -> tuple[float, ...]:
+    """The same ratios as those of a word of equal counts in subjects of equal size."""
+    every = sum(counts)
+    return tuple(_mixed((k + 0.1) / (every / len(counts) + 0.1), p) for k in counts)
+
+
+def train(examples: list[tuple[str, list[str]]], p: Parameters, learned: Learned | None = None) -> Model:
     """Models of labelled texts, and of words ``learned`` from the corpus: their confident sentences by subject."""
     by_subject: dict[str, _Counts] = {s: _Counts() for s in SUBJECTS}
     for text, labels in examples:
@@ -225,20 +239,18 @@ def train(examples: list[tuple[str, list[str]]], p: Parameters, learned: dict[st
                     by_subject[SUBJECTS[subject]].add(tokens)
     model.words, model.pairs = _fit(by_subject, p)
     model.asides = _asides(examples, model, p)
-    for w, n in (learned or {}).items():
-        every = sum(n)
-        if max(n) < p.least_purity * every:
+    for w, (n, gain) in (learned or {}).items():
+        if max(n) < p.least_purity * sum(n):
             model.words.pop(w, None)
-        elif w not in model.words or every >= 2 * p.min_texts:
-            # The same ratio as that of a word of equal counts in subjects of equal size.
-            model.words[w] = tuple(_mixed((k + 0.1) / (every / len(n) + 0.1), p) for k in n)
+        elif w not in model.words or gain >= 2 * p.min_gain:
+            model.words[w] = _ratios(n, p)
     model.pairs = {k: v for k, v in model.pairs.items() if k[1] in model.words}
     if learned:
         model.asides = _asides(examples, model, p)
     return model
 
 
-def calibrate(examples: list[tuple[str, list[str]]], p: Parameters, learned: dict[str, tuple[int, ...]] | None = None) -> tuple[float, float, float]:
+def calibrate(examples: list[tuple[str, list[str]]], p: Parameters, learned: Learned | None = None) -> tuple[float, float, float]:
     """(evidence, share, F1): the acceptance that is best in cross-validation over the labelled texts."""
     tallies = []
     for k in range(p.folds):
@@ -261,7 +273,7 @@ def calibrate(examples: list[tuple[str, list[str]]], p: Parameters, learned: dic
 
 
 def _learn(model: Model):
-    """For mapInArrow over (id, text): (word, subject, n), in how many texts of just one subject each word stands."""
+    """For mapInArrow over (id, text): (word, subject, n), in how many texts of just one subject each word stands; all of them hold the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter() for _ in SUBJECTS]
@@ -281,7 +293,7 @@ def _learn(model: Model):
                 parts = sentences(value.as_py())
                 found = accept(_tally(parts, model), model.evidence, model.share)
                 if len(found) == 1:
-                    counts[SUBJECTS.index(found[0])].update({w for t in parts for w in t})
+                    counts[SUBJECTS.index(found[0])].update({"", *(w for t in parts for w in t)})
                     if sum(map(len, counts)) > 200_000:
                         yield flush()
         yield flush()
@@ -289,37 +301,101 @@ def _learn(model: Model):
     return run
 
 
-def learn(texts: DataFrame, model: Model, p: Parameters) -> dict[str, tuple[int, ...]]:
-    """Words of the whole corpus that one subject's texts hold, and frequent ones that none does, by counts over all texts that ``model`` gives one subject."""
+def _gain(k: Column, n: Column, share: Column) -> Column:
+    """Twice the log-likelihood ratio of ``k`` of ``n`` to a ``share``."""
+    part = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
+    return 2 * (part(k, n * share) + part(n - k, n * (1 - share)))
+
+
+def learn(texts: DataFrame, model: Model, vocabulary: set[str], p: Parameters) -> DataFrame:
+    """(word, counts, gain, known): words of the whole corpus that one subject's texts hold, and those of ``vocabulary`` that none does, by counts over all texts that ``model`` gives one subject.
+
+    Chance is a subject's share of those texts, at least an equal one, so the test doesn't depend on the corpus's size.
+    """
     sums = [F.sum(F.when(F.col("subject") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(SUBJECTS))]
     by_word = texts.mapInArrow(_learn(model), "word string, subject int, n int").groupBy("word").agg(F.sum("n").alias("n"), *sums)
-    most = F.greatest(*[F.col(f"n{i}") for i in range(len(SUBJECTS))])
-    pure = most >= p.min_purity * F.col("n")
-    frame = (F.col("n") >= 2 * p.min_texts) & (most < p.least_purity * F.col("n"))
-    kept = by_word.filter((F.col("n") >= p.min_texts) & (pure | frame))
-    rows = kept.orderBy(F.desc("n"), "word").limit(p.max_words).collect()
-    return {r["word"]: tuple(r[f"n{i}"] for i in range(len(SUBJECTS))) for r in rows}
+    counts = F.array(*[F.col(f"n{i}") for i in range(len(SUBJECTS))])
+    known = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(vocabulary), pa.string()), "known": pa.array([True] * len(vocabulary), pa.bool_())}))
+    by_word = by_word.select("word", "n", counts.alias("counts"), F.array_max(counts).alias("most"))
+    by_word = by_word.join(F.broadcast(known), "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))  # words of at most max_examples texts
+    # No gain is above that of a word of one subject alone at an equal share.
+    maybe = (F.col("most") >= p.min_purity * F.col("n")) & (F.col("n") >= p.min_gain / (2 * math.log(len(SUBJECTS))) - 1e-9)
+    frame = F.col("known") & (F.col("most") < p.least_purity * F.col("n")) & (_gain(F.col("most"), F.col("n"), F.lit(p.least_purity)) >= p.min_doubt)
+    kept = materialize(by_word.filter((F.col("word") == "") | maybe | frame), "learned")
+    row = kept.filter("word = ''").select("counts").first()
+    totals = [float(k) for k in row["counts"]] if row else [1.0] * len(SUBJECTS)
+    shares = F.array(*[F.lit(min(0.999, max(k / sum(totals), 1 / len(SUBJECTS)))) for k in totals])
+    share = F.element_at(shares, F.array_position("counts", F.col("most")).cast("int"))
+    pure = (F.col("most") >= p.min_purity * F.col("n")) & (F.col("gain") >= p.min_gain)
+    frame = F.col("most") < p.least_purity * F.col("n")
+    return kept.filter("word <> ''").withColumn("gain", _gain(F.col("most"), F.col("n"), share)).filter(pure | frame).select("word", "counts", "gain", "known")
+
+
+def _collected(words: DataFrame) -> Learned:
+    return {r["word"]: (tuple(r["counts"]), r["gain"]) for r in words.collect()}
+
+
+def _classify(model: Model, p: Parameters):
+    """For mapInArrow over (id, text) or (id, text, extra), extra being learned words of the text that ``model`` doesn't have."""
 
-
-def _classify(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            extra: dict[str, tuple[float, ...]] = {}
+            if batch.num_columns > 2:
+                # Those of all texts of the batch at once: each text has all of its own.
+                extra = {x["word"]: _ratios(tuple(x["counts"]), p) for of in batch.column(2).to_pylist() for x in of or ()}
+            model.words.update(extra)
             found = [accept(tally(v.as_py(), model), model.evidence, model.share) if v.is_valid else [] for v in batch.column(1)]
+            for w in extra:
+                del model.words[w]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["id", "subjects"])
 
     return run
 
 
-def fit(texts: DataFrame, examples: DataFrame, p: Parameters = Parameters()) -> Model:
-    """The model of labelled ``examples`` (example_id, text, subjects), widened by words of all ``texts`` (id, text)."""
+def _words(known: set[str]):
+    """For mapInArrow over (key, text): (key, word), the words of each text that aren't ``known``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                rows = [(k, w) for k, v in zip(part.column(0).to_pylist(), part.column(1)) for w in {w for t in sentences(v.as_py()) for w in t} - known]
+                keys, words = zip(*rows) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["key", "word"])
+
+    return run
+
+
+def _with_words(texts: DataFrame, words: DataFrame, known: set[str]) -> DataFrame:
+    """(id, text, extra): the learned ``words`` that each text holds; equal texts are looked at once."""
+    keyed = texts.withColumn("key", F.sha2("text", 256))
+    pairs = keyed.filter("text IS NOT NULL").select("key", "text").mapInArrow(_words(known), "key string, word string").distinct()
+    extra = pairs.join(words.select("word", "counts"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "counts")).alias("extra"))
+    return keyed.join(extra, "key", "left").select("id", "text", "extra")
+
+
+def fit(texts: DataFrame, examples: DataFrame, p: Parameters = Parameters()) -> tuple[Model, set[str], DataFrame | None]:
+    """The model of labelled ``examples`` (example_id, text, subjects), widened by words of all ``texts`` (id, text).
+
+    Also the examples' words, and the learned words that are none of them where they are more than ``max_words`` and so not
+    in the model. Training and calibration see the examples only, and so need no others.
+    """
     rows = examples.select("example_id", "text", "subjects").orderBy("example_id").limit(p.max_examples).collect()
     labelled = [(r["text"], sorted(set(r["subjects"] or []) & set(SUBJECTS))) for r in rows if r["text"]]
+    vocabulary = {w for text, _ in labelled for t in sentences(text) for w in t}
     model = train(labelled, p)
     model.evidence, model.share, _ = calibrate(labelled, p)
-    learned = learn(texts, model, p)
+    words = learn(texts, model, vocabulary, p)
+    learned = _collected(words.filter("known"))
     wide = train(labelled, p, learned)
     wide.evidence, wide.share, _ = calibrate(labelled, p, learned)
-    return wide
+    others = words.filter(~F.col("known"))
+    few = _collected(others.limit(p.max_words + 1))
+    if len(few) > p.max_words:
+        return wide, vocabulary, others
+    wide.words.update({w: _ratios(n, p) for w, (n, _) in few.items()})
+    return wide, vocabulary, None
 
 
 def document_subjects(df: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Parameters = Parameters()) -> DataFrame:
@@ -330,5 +406,7 @@ def document_subjects(df: DataFrame, examples: DataFrame, id_col: str = "doc_id"
     Without examples no text has a subject. Other columns are ignored.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    model = fit(texts, examples, p)
-    return texts.mapInArrow(_classify(model), "id long, subjects array<string>").withColumnRenamed("id", id_col)
+    model, known, words = fit(texts, examples, p)
+    if words is not None:
+        texts = _with_words(texts, words, known)
+    return texts.mapInArrow(_classify(model, p), "id long, subjects array<string>").withColumnRenamed("id", id_col)
