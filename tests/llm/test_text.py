@@ -74,6 +74,28 @@ def test_cut_kinds():
         assert not p.startswith("‍")
 
 
+@pytest.mark.parametrize("text", ["\u200d" * 5000, "a" + "\u0301" * 9000, "word " * 300 + "\u200d" * 5000 + " end" * 300, "x" * 2000 + "\u0301" * 4500 + "x" * 3000])
+def test_long_joined_stretches_are_cut(text):
+    got = parts(text, 4000, 200)
+    assert all(0 < len(p) <= 4000 for _, p, _ in got)
+    assert "".join(p if i == 0 else p[200:] for i, (_, p, _) in enumerate(got)) == text
+
+
+@given(st.text(alphabet="a\u200d\u0301 ", min_size=61, max_size=400))
+@settings(max_examples=200, deadline=None)
+def test_joined_pieces_fit_and_give_the_text_again(text):
+    got = parts(text)
+    assert all(0 < len(p) <= 60 for _, p, _ in got)
+    assert "".join(p if i == 0 else p[10:] for i, (_, p, _) in enumerate(got)) == text
+
+
+def test_cuts_where_the_grid_is_too_wide():
+    text = "x" * 100
+    got = parts(text, 20, 5)
+    assert all(0 < len(p) <= 20 for _, p, _ in got)
+    assert "".join(p if i == 0 else p[5:] for i, (_, p, _) in enumerate(got)) == text
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([(1, "a b " * 2000, "x"), (2, None, "x"), (3, "", "x"), (4, "z" * 4000, "x"), (5, "日本" * 2001, None)], "content_id long, visible_text string, piece string")
     got = pieces.split_oversized(df).collect()

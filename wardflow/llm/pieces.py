@@ -48,9 +48,12 @@ def _boundaries(text: str, limit: int) -> dict[int, str]:
             found.setdefault(m.end(), "word")
     for a, b in gaps():
         for p in range(a + _GRID, b, _GRID):
-            while p < b and (_JOINED.match(text, p) or text[p - 1] == "\u200d"):
+            grid = p
+            while p < b and p - grid < stretch and (_JOINED.match(text, p) or text[p - 1] == "\u200d"):
                 p += 1
-            found.setdefault(p, "character")
+            # Where all that is in reach is joined, it is parted after all.
+            joined = p >= b or _JOINED.match(text, p) or text[p - 1] == "\u200d"
+            found.setdefault(grid if joined else p, "character")
     return {p: k for p, k in found.items() if 0 < p < len(text)}
 
 
@@ -75,6 +78,8 @@ def cuts(text: str, limit: int = 4000, overlap: int = 200) -> list[tuple[int, st
             value = best[i] + cost + ((end - at[i] - even) / even) ** 2
             if value < best[j]:
                 best[j], back[j] = value, i
+    if best[-1] == float("inf"):
+        return [(p, "character") for p in range(limit, size, step)]  # only below limits of some 200, where the grid is too wide
     j, chosen = back[len(at) - 1], []
     while j:
         chosen.append((at[j], kinds[at[j]]))
