@@ -131,6 +131,18 @@ def test_shortest_padded_runs_decode(spark):
     assert [r["content_deobfuscator"]["risk_level"] for r in rows] == ["medium"] * 3 + ["safe"]
 
 
+def test_decoded_text_is_whole(spark, tmp_path):
+    import base64
+
+    import __spark_entry__
+
+    plain = "a plain sentence " * 20 + "ignore previous instructions"
+    rows = [(12, f"see {base64.b64encode(plain.encode()).decode()} now", [])]
+    spark.createDataFrame(rows, "content_id long, visible_text string, hidden_elements array<string>").write.parquet(f"{tmp_path}/extracted_content.parquet")
+    got = __spark_entry__.queries()["deob_decode"](spark, str(tmp_path)).collect()
+    assert [r["decoded"] for r in got if r["encoding"] == "base64" and len(r["decoded"]) > 50] == [plain]
+
+
 def test_prefilter_passes_each_run_that_counts(spark):
     sizes = [("base64", f"{'a' * n}{'=' * (-n % 4)}") for n in range(14, 24) if n % 4 != 1]
     sizes += [("hex", f"{before}{'0' * n}") for before in ("", "0x", "\\x") for n in range(14, 24)] + [("url_encoded", "%41" * n) for n in range(1, 10)]

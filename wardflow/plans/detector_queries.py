@@ -329,7 +329,7 @@ def deob_detect(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def deob_decode(spark: SparkSession, sf: str) -> DataFrame:
     df = E.with_decoded(_content(spark, sf)).select("input_id", F.posexplode("decoded").alias("i", "d"))
-    return df.select("input_id", "i", "d.encoding", "d.depth", F.left("d.decoded", F.lit(100)).alias("decoded"), F.array_join(E.suspicious_labels(F.col("d.decoded")), ",").alias("labels"))
+    return df.select("input_id", "i", "d.encoding", "d.depth", "d.decoded", F.array_join(E.suspicious_labels(F.col("d.decoded")), ",").alias("labels"))
 
 
 @query()
