@@ -1,8 +1,10 @@
 """Subject area of each document (problem 9).
 
 A sentence is scored by interpolated n-gram language models, one for each subject and one for the background
-of all texts: the mean over its tokens of the subject model's log probability less the background model's, that
-is, the difference of their per-token cross-entropies. Sentences are given to the subject that models them
+of all texts: the sum over its tokens of the subject model's log probability less the background model's. It is
+not divided by the number of tokens, and only words count that one subject mostly holds; the ratios of words learned
+from the corpus come from counts of texts. So it is a weighted vote of subject-specific words rather than a difference
+of per-token cross-entropies. Sentences are given to the subject that models them
 best, if clearly better than the background, and asides (sentences of the frames in which labelled texts
 mention another field) count for nothing. A document is about the subjects that hold a calibrated share of its
 sentences; so it has none, one or two.
@@ -136,7 +138,7 @@ def _fit(by_subject: dict[str, _Counts], p: Parameters) -> tuple[dict, dict]:
 
 
 def _score(tokens: list[str], model: Model) -> tuple[int, float]:
-    """The subject that models a sentence best, and by how much: its length times the difference of the per-token cross-entropies."""
+    """The subject that models a sentence best, and by how much: the sum of the log ratios of its subject-specific words."""
     words, pairs = model.words, model.pairs
     found = []
     before = None
