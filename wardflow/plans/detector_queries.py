@@ -368,5 +368,5 @@ def semantic_cosine_argmax(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_BANK}, s AS (SELECT e.vec_id, b.concept_id, b.category, {_COS} AS sim FROM embeddings e CROSS JOIN bank b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, concept_id) AS k FROM s WHERE sim IS NOT NULL) SELECT category, count(*) AS n, round(max(sim), 6) AS most FROM r WHERE k = 1 AND sim > 0.2 GROUP BY category")
 def semantic_category_max(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _nearest(spark, sf).filter("similarity > 0.2")
+    hits = S.category_maxima(_nearest(spark, sf), "vec_id", 0.2)
     return hits.groupBy("category").agg(F.count(F.lit(1)).alias("n"), r6(F.max("similarity")).alias("most"))
