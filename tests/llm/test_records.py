@@ -1,5 +1,6 @@
 """Problems 1, 2, 5, 6, 8 and 9 against brute force on small tables."""
 
+import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -274,14 +275,16 @@ def test_learned_words_are_whole(spark):
 
 def test_learned_words_do_not_depend_on_size(spark):
     rng = random.Random(15)
-    labelled = examples(rng)
-    model = subjects.train(labelled, subjects.Parameters())
-    vocabulary = {w for t, _ in labelled for x in subjects.sentences(t) for w in x}
+    labelled = [(subjects.tokens(t), [subjects.SUBJECTS.index(x) for x in of]) for t, of in examples(rng)]
+    model = subjects.trained(labelled, subjects.Parameters(), (3.5,))
     texts = [made(rng, [s], unseen=True) + f" {s[:3]}rare" * (i < 5) + " mostly" * (i < 4 or s == "law" and i < 15) for s in TERMS for i in range(16)]
     # Of 43 texts that hold it 15 are of law; one in five holders of "leaning" is of another subject, as chance gives it.
     texts += [made(rng, ["law"]) + " leaning"] * 4 + [made(rng, ["music"]) + " leaning"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    words = {r["word"] for r in subjects.learn(df, model, vocabulary, subjects.Parameters()).filter("NOT known").collect()}
+    grams, total = subjects.learn(df, model, list(model.words) + ["here one", "never seen"], subjects.Parameters())
+    assert {r["ngram"]: sum(r["counts"]) for r in grams.filter("known").collect()}["here one"] == len(texts)
+    assert sum(total) == sum(len({w for w in subjects.tokens(t) if w != "."}) for t in texts)
+    words = {r["ngram"] for r in grams.filter("NOT known").collect()}
     assert words == {f"{s[:3]}{x}" for s in TERMS for x in ("omega", "rare")}
 
 
@@ -293,5 +296,22 @@ def test_subjects_without_examples(spark):
 
 def test_held_out_examples(spark, sf):
     rows = spark.read.parquet(f"{sf}/subject_examples.parquet").orderBy("example_id").collect()
-    labelled = [(r["text"], sorted(r["subjects"])) for r in rows]
-    assert subjects.calibrate(labelled, subjects.Parameters())[2] > 0.93
+    labelled = [(subjects.tokens(r["text"]), sorted(map(subjects.SUBJECTS.index, r["subjects"]))) for r in rows]
+    assert subjects.calibrate(labelled, subjects.Parameters(), (3.5,))[3] > 0.93
+
+
+def test_evidence_is_the_mean_log_ratio_of_interpolated_models():
+    p = subjects.Parameters()
+    rows = [(subjects.tokens(t), of) for t, of in [("the old court rules . the court", [1])] * 6 + [("the old drum plays", [7])] * 6 + [("the old way", [])] * 4]
+    model = subjects.train(rows, p, 3.5)
+    held = {w: [sum(w in t for t, of in rows if of == [c]) for c in range(8)] for w in ("the", "old", "court")}
+    total = [sum(len(set(t) - {"."}) for t, of in rows if of == [c]) for c in range(8)]
+    every = sum(len(set(t) - {"."}) for t, _ in rows)
+    share = [max(1e-6, x / every) for x in total]
+    # "the" and "old" are pruned, so that law's model backs off to the background there.
+    court = (held["court"][1] / share[1] + p.prior) / (6 + p.prior)
+    pair = (6 / 6) / (6 / 16)  # of six texts of law with "the" six hold "the court", and of all sixteen with it six
+    value = math.log(p.bigram * pair + p.unigram * court + 1 - p.bigram - p.unigram)
+    block = subjects.Block([subjects.tokens("The court unknown word.")], subjects._Ids(model.words))
+    s = subjects.score(block, model)
+    assert s.subject[0] == 1 and s.evidence[0] == pytest.approx(value / 4, rel=1e-5)
