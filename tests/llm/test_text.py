@@ -114,13 +114,14 @@ def test_split_table(spark):
     [
         ("Ｆｕｌｌ　ｗｉｄｔｈ！", "Full width!"), ("été", "été"), ("ze​ro﻿ ⁠wi­dth", "zero width"), ("no break space ", "no break space "),
         ("Раsѕwоrd", "Password"), ("ΑΒΕ αο", "ABE ao"), ("ﬁve oﬀ ﬆop", "five off stop"), ("write‐up ‑ so…", "write-up - so..."), ("ｶﾞ", "ガ"), ("a\r\nb\rc", "a\nb\nc"), ("ё", "ë"), ("c​̧", "ç"), ("한", "한"),
+        ("ᎪᎳ", "AW"), ("ӏӀѵ", "lIv"), ("ոՕ", "nO"), ("ᴄᴏꜱ", "cos"), ("ꓧꓮꓔ", "HAT"), ("3−2", "3-2"),
     ],
 )
 def test_alike(a, b):
     assert lookalike.visible_form(a) == lookalike.visible_form(b)
 
 
-@pytest.mark.parametrize(("a", "b"), [("naive", "naïve"), ("A", "a"), ("½", "1/2"), ("x²", "x2"), ("①", "1"), ("が", "か"), ("й", "и"), ("0", "O"), ("\U0001f469‍\U0001f52c", "\U0001f469\U0001f52c"), ("❤️", "❤"), ("𝐀", "A")])
+@pytest.mark.parametrize(("a", "b"), [("naive", "naïve"), ("A", "a"), ("½", "1/2"), ("x²", "x2"), ("①", "1"), ("が", "か"), ("й", "и"), ("0", "O"), ("\U0001f469‍\U0001f52c", "\U0001f469\U0001f52c"), ("❤️", "❤"), ("𝐀", "A"), ("kış", "kis"), ("a–b", "a-b")])
 def test_not_alike(a, b):
     assert lookalike.visible_form(a) != lookalike.visible_form(b)
 
@@ -154,6 +155,12 @@ def test_pairs(spark):
     assert lookalike.lookalike_pairs(df.limit(0), "id", "text").count() == 0
 
 
+def test_pairs_of_a_hot_form(spark):
+    rows = [(i, "Password") for i in range(4000)] + [(4000, "Pаssword"), (4001, "Pаssword"), (4002, "Ｐassword")]
+    got = {tuple(r) for r in lookalike.lookalike_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {(i, j) for i in range(4000) for j in (4000, 4001, 4002)} | {(4000, 4002), (4001, 4002)}
+
+
 # ---- ids ----------------------------------------------------------------------------------------
 
 

@@ -23,16 +23,25 @@ from pyspark.sql.types import StringType
 
 from wardflow.functions.runtime import materialize
 
-#: Letters of other scripts and the Latin letters they look like, in order.
-LOOKALIKES = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХҮԌԚԜ" + "аеѕіјһорсухԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "αορν" + "օսհ" + "ɡ",
-        "ABESIJKMHOPCTYXYGQW" + "aesijhopcyxdqw" + "ABEZHIKMNOPTYX" + "aopv" + "ouh" + "g",
-        strict=True,
+#: Letters of other scripts and the Latin letters they look like, by script. Letters that show a difference in any
+#: usual face (the dotless ı, ι, σ, Ь) are none.
+LOOKALIKES = {
+    letter: latin
+    for letters, latins in (
+        ("ͿΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "JABEZHIKMNOPTYXC"),  # Greek
+        ("αορνϲϳ", "aopvcj"),
+        ("ЅІЈАВЕКМНОРСТУХѴҮӀԌԚԜ", "SIJABEKMHOPCTYXVYIGQW"),  # Cyrillic
+        ("аеорсухѕіјѵһүӏԁԛԝ", "aeopcyxsijvhyldqw"),
+        ("ԼՍՏՕ", "LUSO"),  # Armenian
+        ("զհյոսցօ", "qhjnugo"),
+        ("ᎠᎪᎫᎬᎱᎳᎷᎻᎢᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DAJERWMHTGZVSLCPKB"),  # Cherokee
+        ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+        ("ɡᴄᴏᴜᴠᴡᴢꜱ", "gcouvwzs"),  # Latin letters drawn like others, among them small capitals
     )
-)
-#: Hyphens drawn alike, and the ellipsis that is three dots.
-_SIGNS = {"\u2010": "-", "\u2011": "-", "\u2026": "..."}
+    for letter, latin in zip(letters, latins, strict=True)
+}
+#: Hyphens and minus signs drawn alike, and the ellipsis that is three dots.
+_SIGNS = {"\u02d7": "-", "\u2010": "-", "\u2011": "-", "\u2212": "-", "\u2026": "..."}
 #: Ranges of common characters that are all stable: ASCII without carriage return, the Latin letters of
 #: Europe with their accents, Kana, and the usual Kanji.
 STABLE = r"\x00-\x0C\x0E-\x7F\u00A1-\u00AC\u00AE-\u017F\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u30FC\u4E00-\u9FFF"
@@ -183,17 +192,21 @@ def normalized(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of rows whose texts are different characters of the same form.
 
-    Texts without a visible character, and null ones, are in no pair. Rows of equal texts are counted as
-    one variant until the variants of a form are known, so that a hot text that has no other variant is
-    never joined; only the rows of forms with several variants meet.
+    Texts without a visible character, and null ones, are in no pair. Pairs are made of variants, the different texts of one
+    form, and ids are attached to them last: equal rows never meet, however many there are, and a hot text without another
+    variant is in no join. Each join has one row a variant on the side that doesn't hold rows, so the skew join splits a hot one.
     """
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     out = with_form(out).filter(F.rlike("form", F.lit(r"[^\s\p{Z}\p{C}]")))
     keys = out.select("id", F.xxhash64("form").alias("k1"), F.xxhash64(F.lit(1), "form").alias("k2"), F.xxhash64("text").alias("v1"), F.xxhash64(F.lit(1), "text").alias("v2"))
     keys = materialize(keys, "forms")
-    several = keys.groupBy("k1", "k2").agg(F.min(F.struct("v1", "v2")).alias("low"), F.max(F.struct("v1", "v2")).alias("high"))
-    several = several.filter("low <> high").select("k1", "k2")
+    ends = [f(v).alias(f"{f.__name__}_{v}") for f in (F.min, F.max) for v in ("v1", "v2")]
+    several = keys.groupBy("k1", "k2").agg(*ends).filter("min_v1 <> max_v1 OR min_v2 <> max_v2").select("k1", "k2")
     rows = materialize(keys.join(several, ["k1", "k2"], "left_semi"), "variants")
-    x = rows.select("k1", "k2", F.col("id").alias("id_a"), F.col("v1").alias("a1"), F.col("v2").alias("a2"))
-    y = rows.select("k1", "k2", F.col("id").alias("id_b"), F.col("v1").alias("b1"), F.col("v2").alias("b2"))
-    return x.join(y, ["k1", "k2"]).filter("id_a < id_b AND (a1 <> b1 OR a2 <> b2)").select("id_a", "id_b")
+    variants = rows.select("k1", "k2", "v1", "v2").distinct()
+    a = variants.select("k1", "k2", F.struct("v1", "v2").alias("a"))
+    b = variants.select("k1", "k2", F.struct("v1", "v2").alias("b"))
+    pairs = a.join(b, ["k1", "k2"]).filter("a < b").select("a.v1", "a.v2", F.col("b.v1").alias("b1"), F.col("b.v2").alias("b2"))
+    first = pairs.join(rows.select("id", "v1", "v2"), ["v1", "v2"]).select("id", "b1", "b2")
+    second = rows.select(F.col("id").alias("id_2"), F.col("v1").alias("b1"), F.col("v2").alias("b2"))
+    return first.join(second, ["b1", "b2"]).select(F.least("id", "id_2").alias("id_a"), F.greatest("id", "id_2").alias("id_b"))
