@@ -84,9 +84,11 @@ def groups_by_force(rows, least=20, threshold=0.8):
     return {(find(i), i) for i in bags if find(i) != i}
 
 
-@pytest.mark.parametrize("whole_bucket", [64, 3])
-def test_near_groups(spark, monkeypatch, whole_bucket):
-    """Also with buckets of more than three rows going the way of large ones."""
+@pytest.mark.parametrize(("whole_bucket", "hot_rows", "max_ids"), [(64, 1000, 10**6), (3, 1000, 10**6), (3, 4, 3)])
+def test_near_groups(spark, monkeypatch, whole_bucket, hot_rows, max_ids):
+    """Also with buckets of more than three rows going the way of large ones, with hot ones, and with ids that aren't broadcast."""
+    monkeypatch.setattr(near, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(near, "MAX_IDS", max_ids)
     rows = corpus(5)
     links = near.links
     monkeypatch.setattr(near, "links", lambda *a: links(*a, whole_bucket=whole_bucket))
@@ -127,7 +129,9 @@ def test_components(spark):
 # ---- overlaps -----------------------------------------------------------------------------------
 
 
-def test_overlaps(spark):
+@pytest.mark.parametrize("hot_rows", [1000, 3])
+def test_overlaps(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(near, "HOT_ROWS", hot_rows)
     rng = random.Random(8)
     rows = [(i, t, rng.choice(["train", "train", "val", "test", " Train", None]), "src") for i, t in corpus(9, 15)]
     rows += [(1000, "Short one!", "train", "a-B "), (1001, "short  ONE", "val", " A_b"), (1002, "...", "train", "x"), (1003, "!!!", "test", "x"), (1004, "short one", "test", "x")]
@@ -143,7 +147,12 @@ def test_overlaps(spark):
     assert {tuple(r) for r in overlap.split_overlaps(df).collect()} == expected
     report = {(r["split_name"], r["source"]): (r["n_pairs"], r["n_records"]) for r in overlap.overlap_report(df).collect()}
     assert report["val", "a_b"] == (1, 1)
-    assert sum(n for n, _ in report.values()) == len(expected)
+    said = defaultdict(Counter)
+    for a, b in expected:
+        e = a if split[b] == "train" else b
+        name = next((s.strip().lower(), src.strip().lower().replace("-", "_")) for i, _, s, src in rows if i == e)
+        said[name][e] += 1
+    assert report == {k: (v.total(), len(v)) for k, v in said.items()}
     assert overlap.split_overlaps(df.limit(0)).count() == 0
 
 

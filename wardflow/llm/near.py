@@ -22,6 +22,10 @@ from wardflow.llm.copies import members
 from wardflow.llm.words import shared, words
 
 _SKETCH = [f"s{i}" for i in range(sketch.LONGS)]
+#: Ids that are broadcast at most; 16 MB.
+MAX_IDS = 1_000_000
+#: A band key of fewer rows is never hot.
+HOT_ROWS = 1000
 
 
 def signatures(texts: DataFrame, min_words: int) -> DataFrame:
@@ -47,18 +51,16 @@ def _exactly(threshold: float):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The candidate ``pairs`` (a, b) whose words of ``texts`` (id, text) really share ``threshold``."""
-    n = partitions(pairs.sparkSession)
-    by_id = texts.repartition(n, "id")  # one exchange, read by both joins
-    x = by_id.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    y = by_id.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInPandas(_exactly(threshold), "a long, b long")
-
+    """The candidate ``pairs`` (a, b), written, whose words of ``texts`` (id, text) really share ``threshold``.
 
-def _bands(reps: DataFrame) -> DataFrame:
-    """A row (key, id, n, sketch) for each band; all rows of a key in one partition, in its order."""
-    rows = reps.select(F.explode("keys").alias("key"), "id", "n", *_SKETCH)
-    return rows.repartition(partitions(reps.sparkSession), "key")
+    Only texts of candidates travel: their ids are broadcast where they are at most MAX_IDS, and else joined.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
+    needed = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    x = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    y = needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInPandas(_exactly(threshold), "a long, b long")
 
 
 def _likely(threshold: float):
@@ -71,22 +73,52 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("key", *(F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "key"))
 
 
+def hot_keys(bands: DataFrame, share: float = 0.001, slots: int = 1 << 14) -> DataFrame | None:
+    """(key) of every band key that holds more than ``share`` of all rows of ``bands`` (and HOT_ROWS), at most 1 / share; none if there is none.
+
+    Rows are first counted by slots of keys, which is a small table by partial aggregation; only keys of slots that are so large are
+    counted themselves. So finding them is exact and shuffles no row.
+    """
+    slot = F.pmod("key", F.lit(slots)).alias("slot")
+    sizes = {r["slot"]: r["n"] for r in bands.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``slots`` rows
+    least = max(HOT_ROWS, sum(sizes.values()) * share)
+    large = [x for x, n in sizes.items() if n > least]
+    if not large:
+        return None
+    keys = bands.filter(F.pmod("key", F.lit(slots)).isin(large)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keys = materialize(keys.filter(F.col("n") > least).select("key"), "hot-keys")
+    return None if keys.isEmpty() else keys
+
+
+def in_blocks(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
+    """The join of ``left`` and ``right`` on key, for keys of very many rows: each key's left rows are dealt to ``blocks`` blocks, and its right rows go to all."""
+    dealt = left.withColumn("block", F.pmod(F.xxhash64("x_id"), F.lit(blocks)))
+    copied = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.join(copied, ["key", "block"]).drop("block")
+
+
 def links(reps: DataFrame, texts: DataFrame, threshold: float, whole_bucket: int = 64) -> DataFrame:
     """Verified links (a, b) that connect all similar texts among ``reps`` (signatures of distinct texts).
 
     Within a bucket of up to ``whole_bucket`` rows each pair is a candidate. In a larger one every row is
     first compared with the row of smallest id; what this connects needs no more links among itself, so
-    that only rows it left out meet all others. This is exact, and a bucket of near-copies, however
-    large, costs one comparison a row.
+    that only rows it left out meet all others, in blocks. This is exact, and a bucket of near-copies, however
+    large, costs one comparison a row. Hot buckets are told apart before the others are counted, so that none is brought into one task.
     """
     spark = reps.sparkSession
-    by_key = Window.partitionBy("key")
-    sized = _bands(reps).withColumn("c", F.count(F.lit(1)).over(by_key)).filter("c > 1")
+    n = partitions(spark)
+    bands = reps.select(F.explode("keys").alias("key"), "id", "n", *_SKETCH)
+    hot = hot_keys(bands)
+    rest = bands.join(F.broadcast(hot), "key", "left_anti") if hot else bands
+    sized = rest.repartition(n, "key").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
     small = sized.filter(F.col("c") <= whole_bucket).drop("c")
     pairs = _side(small, "x").join(_side(small, "y"), "key").filter(F.col("x_id") < F.col("y_id")).filter(_likely(threshold))
     pairs = materialize(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "pairs")
     found = materialize(verify(pairs, texts, threshold), "links")
-    big = materialize(sized.filter(F.col("c") > whole_bucket).drop("c"), "big-buckets")
+    big = sized.filter(F.col("c") > whole_bucket).drop("c")
+    if hot:
+        big = big.unionByName(bands.join(F.broadcast(hot), "key", "left_semi"))
+    big = materialize(big, "big-buckets")
     if big.isEmpty():
         return found
     centre = big.groupBy("key").agg(F.min_by(F.struct("id", "n", *_SKETCH), "id").alias("r")).select("key", "r.*")
@@ -97,11 +129,12 @@ def links(reps: DataFrame, texts: DataFrame, threshold: float, whole_bucket: int
     named = big.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heart = centre.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("heart"))
     named = materialize(named.join(heart, "key"), "named")
-    left_out = _side(named.filter("root <> heart").drop("heart"), "x")
-    others = _side(named.drop("heart"), "y")
-    more = left_out.join(others, "key").filter("x_root <> y_root").filter(_likely(threshold))
+    left_out = materialize(named.filter("root <> heart").drop("heart"), "left-out")
+    if left_out.isEmpty():
+        return found
+    more = in_blocks(_side(left_out, "x"), _side(named.drop("heart"), "y"), n).filter("x_root <> y_root").filter(_likely(threshold))
     more = more.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    more = materialize(more, "pairs").join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     return materialize(found.unionByName(verify(more, texts, threshold)), "links")
 
 
