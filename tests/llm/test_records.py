@@ -84,11 +84,11 @@ def groups_by_force(rows, least=20, threshold=0.8):
     return {(find(i), i) for i in bags if find(i) != i}
 
 
-@pytest.mark.parametrize(("whole_bucket", "hot_rows", "max_ids"), [(64, 1000, 10**6), (3, 1000, 10**6), (3, 4, 3)])
-def test_near_groups(spark, monkeypatch, whole_bucket, hot_rows, max_ids):
-    """Also with buckets of more than three rows going the way of large ones, with hot ones, and with ids that aren't broadcast."""
+@pytest.mark.parametrize(("whole_bucket", "hot_rows", "max_pairs"), [(64, 1000, 10**6), (3, 1000, 10**6), (3, 4, 3)])
+def test_near_groups(spark, monkeypatch, whole_bucket, hot_rows, max_pairs):
+    """Also with buckets of more than three rows going the way of large ones, with hot ones, and with pairs that aren't broadcast."""
     monkeypatch.setattr(near, "HOT_ROWS", hot_rows)
-    monkeypatch.setattr(near, "MAX_IDS", max_ids)
+    monkeypatch.setattr(near, "MAX_PAIRS", max_pairs)
     rows = corpus(5)
     links = near.links
     monkeypatch.setattr(near, "links", lambda *a: links(*a, whole_bucket=whole_bucket))
@@ -160,8 +160,12 @@ def test_overlaps(spark, monkeypatch, hot_rows):
 
 
 def test_poisson_means():
-    for rate, cap in ((0.01, 1), (0.5, 1), (0.9, 2), (2.5, 4), (3.99, 4)):
+    for rate, cap in ((0.01, 1), (0.5, 1), (0.9, 2), (2.5, 4), (3.99, 4), (800, 2000), (744, 1000), (9_999, 20_000), (1e-7, 3)):
         assert mixture._truncated(mixture.mean_for(rate, cap), cap) == pytest.approx(rate, rel=1e-6)
+    assert mixture._cumulative(800, 2000)[799] == pytest.approx(0.5, abs=0.02)
+    for rate, cap in ((4, 4), (5, 4), (-1, 2)):
+        with pytest.raises(ValueError):
+            mixture.mean_for(rate, cap)
 
 
 def test_mix(spark):
@@ -215,7 +219,8 @@ def test_pack(spark):
     rng = random.Random(12)
     rows = [(i, rng.choice([7, 7, 7, rng.randrange(1, 300)])) for i in range(2000)] + [(3000, 250), (3001, 0), (3002, None), (3003, 100), (3004, 200)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens int").withColumn("rank", F.lit("clash")).withColumn("piece", F.lit("clash"))
-    got = packing.pack(df, capacity=100).collect()
+    got = packing.pack(df, capacity=100, group_rows=50).collect()
+    assert {(r["doc_id"], r["piece"], r["container"]) for r in got} == {(r["doc_id"], r["piece"], r["container"]) for r in packing.pack(df.repartition(7), capacity=100, group_rows=50).collect()}
     load = Counter()
     for r in got:
         load[r["container"]] += r["n_tokens"]

@@ -21,13 +21,13 @@ _ROUNDS, _TRIED = 4, 9
 
 
 def _cumulative(mean: float, cap: int) -> list[float]:
-    """P(count <= k) for k < cap."""
-    p = math.exp(-mean)
-    total, out = 0.0, []
+    """P(count <= k) for k < cap. Terms are taken as logarithms, so that a mean of any size gives what it should."""
+    if mean <= 0:
+        return [1.0] * cap
+    step, total, out = math.log(mean), 0.0, []
     for k in range(cap):
-        total += p
-        out.append(total)
-        p *= mean / (k + 1)
+        total += math.exp(k * step - mean - math.lgamma(k + 1))
+        out.append(min(1.0, total))
     return out
 
 
@@ -37,10 +37,14 @@ def _truncated(mean: float, cap: int) -> float:
 
 
 def mean_for(rate: float, cap: int) -> float:
-    """The Poisson mean whose counts, cut at ``cap``, average ``rate``."""
+    """The Poisson mean whose counts, cut at ``cap``, average ``rate``; for a rate below ``cap``, as no mean reaches it."""
+    if not 0 <= rate < cap:
+        raise ValueError("the rate must be below the cap")
     low, high = 0.0, 1.0
-    while _truncated(high, cap) < rate and high < 700:
-        high *= 2
+    while _truncated(high, cap) < rate:
+        if high > 1e6 * cap:
+            raise ValueError("the rate is too close to the cap")
+        low, high = high, 2 * high
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if _truncated(middle, cap) < rate else (low, middle)
@@ -69,16 +73,18 @@ def plan(records: DataFrame, targets: DataFrame) -> list[dict]:
         raise ValueError("a target occurs twice")
     spark = records.sparkSession
     keys = spark.createDataFrame([(r["source"], r["label"]) for r in rows], "source string, label int") if rows else t.select("source", "label")
-    # Grouped by all (source, label), but only those of the targets come to the driver.
-    sums = records.groupBy("source", "label").agg(F.sum("n_chars").alias("n"))
-    whole = records.agg(F.sum("n_chars")).first()[0] or 0
-    have = {(r["source"], r["label"]): r["n"] for r in sums.join(F.broadcast(keys), ["source", "label"]).collect()}
+    # One pass: grouped by target, all others being one group, so that only the targets' sums and one more come to the driver.
+    named = records.join(F.broadcast(keys.withColumn("target", F.lit(True))), ["source", "label"], "left")
+    target = F.when(F.col("target"), F.struct("source", "label")).alias("target")
+    sums = {(x["target"]["source"], x["target"]["label"]) if x["target"] else None: x["n"] or 0 for x in named.groupBy(target).agg(F.sum("n_chars").alias("n")).collect()}
+    whole, have = sum(sums.values()), sums
     for r in rows:
         r["available"] = have.get((r["source"], r["label"]), 0) or 0
         r["wanted"] = (r["target_share"] or 0.0) * whole
         r["max_repeats"] = max(0, r["max_repeats"] or 0)
         rate = r["wanted"] / r["available"] if r["available"] else 0.0
-        r["whole"], r["full"] = whole, rate >= r["max_repeats"]
+        # A rate that rounding can't tell from the cap takes each record as often as it may be.
+        r["whole"], r["full"] = whole, rate >= r["max_repeats"] * (1 - 1e-9)
         r["mean"] = None if r["full"] else mean_for(rate, r["max_repeats"])
         r["spread"] = 0.5
     for _ in range(_ROUNDS):
@@ -136,8 +142,9 @@ def shares(df: DataFrame, targets: DataFrame, id_col: str = "sample_id", text_co
     names = "source string, label int, target_share double, max_repeats int, chars_available long, mix_chars long"
     wanted = records.sparkSession.createDataFrame([(r["source"], r["label"], r["target_share"], r["max_repeats"], r["available"], r["whole"]) for r in rows], names)
     out = wanted.join(taken, ["source", "label"], "left").fillna(0, ["n_records", "n_taken", "most_repeats", "chars_taken"])
-    every = out.agg(F.sum("chars_taken").alias("all_taken"))
-    out = out.crossJoin(F.broadcast(every))  # one row
+    out = materialize(out, "shares")  # a row for each target
+    every = out.agg(F.sum("chars_taken")).first()[0] or 0
+    out = out.withColumn("all_taken", F.lit(every))
     share = F.coalesce(F.try_divide(F.col("chars_taken").cast("double"), F.col("mix_chars")), F.lit(0.0))
     drawn = F.coalesce(F.try_divide(F.col("chars_taken").cast("double"), F.col("all_taken")), F.lit(0.0))
     return out.select("source", "label", "target_share", "max_repeats", "n_records", "n_taken", "most_repeats", "chars_available", "chars_taken", share.alias("actual_share"), drawn.alias("share_of_drawn"))

@@ -22,8 +22,8 @@ from wardflow.llm.copies import members
 from wardflow.llm.words import shared, words
 
 _SKETCH = [f"s{i}" for i in range(sketch.LONGS)]
-#: Ids that are broadcast at most; 16 MB.
-MAX_IDS = 1_000_000
+#: Pairs of ids that are broadcast at most; 16 MB.
+MAX_PAIRS = 1_000_000
 #: A band key of fewer rows is never hot.
 HOT_ROWS = 1000
 
@@ -53,14 +53,16 @@ def _exactly(threshold: float):
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The candidate ``pairs`` (a, b), written, whose words of ``texts`` (id, text) really share ``threshold``.
 
-    Only texts of candidates travel: their ids are broadcast where they are at most MAX_IDS, and else joined.
+    Up to MAX_PAIRS pairs are broadcast, and only texts of candidates travel; above, all texts are shuffled once for both joins.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
-    needed = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    x = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    y = needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInPandas(_exactly(threshold), "a long, b long")
+    if pairs.limit(MAX_PAIRS + 1).count() <= MAX_PAIRS:
+        x = texts.withColumnRenamed("id", "a").join(F.broadcast(pairs), "a")
+        y = texts.join(F.broadcast(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi")
+    else:
+        y = texts.repartition(partitions(pairs.sparkSession), "id")
+        x = pairs.join(y.withColumnRenamed("id", "a"), "a")
+    both = x.withColumnRenamed("text", "text_a").join(y.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(_exactly(threshold), "a long, b long")
 
 
 def _likely(threshold: float):

@@ -10,8 +10,11 @@ the items of its size. The plan's rows don't grow with the items.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,53 +93,71 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     return out
 
 
-def _slots(plans: list[tuple[Counter, int]], first: int) -> list[tuple[int, int, int, int, int]]:
-    """(size, first rank, last rank, first container, items of the size in each container)."""
+def _slots(plans: list[tuple[Counter, int]], first: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each size its runs, in order: (first rank, first container, items of the size in each container)."""
     used: Counter = Counter()
-    out, container = [], first
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    container = first
     for filling, times in plans:
         for size, k in filling.items():
-            out.append((size, used[size], used[size] + k * times - 1, container, k))
+            out.setdefault(size, []).append((used[size], container, k))
             used[size] += k * times
         container += times
     return out
 
 
-def _ranked(items: DataFrame, groups: int = 64) -> DataFrame:
+def _ranked(items: DataFrame, groups: dict[int, int]) -> DataFrame:
     """``items`` with ``rank``, counting from 0 among the items of equal ``size``.
 
     A size may hold a third of all items: ranks are counted within (size, hash group) and moved by how many
-    items the size's earlier groups hold, which is a table of at most capacity * groups rows.
+    items the size's earlier groups hold. ``groups``: of each size how many, so that no group has many items.
     """
-    grouped = items.withColumn("g", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
+    spark = items.sparkSession
+    sizes = spark.createDataFrame(list(groups.items()), "size int, n_groups long")  # at most capacity rows
+    grouped = items.join(F.broadcast(sizes), "size").withColumn("g", F.pmod(F.xxhash64("id", "piece"), F.col("n_groups"))).drop("n_groups")
     sums = grouped.groupBy("size", "g").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("size", "g", before.alias("start"))
+    start = F.sum("n").over(Window.partitionBy("size").orderBy("g")) - F.col("n")
+    starts = sums.select("size", "g", start.alias("start"))
     within = F.row_number().over(Window.partitionBy("size", "g").orderBy("id", "piece")) - 1
-    ranked = grouped.withColumn("r", within).join(F.broadcast(starts), ["size", "g"])
+    ranked = grouped.withColumn("r", within).join(starts, ["size", "g"])
     return ranked.select("id", "piece", "start_token", "size", (F.col("start") + F.col("r")).alias("rank"))
 
 
-def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = 2048) -> DataFrame:
+def _containers(slots: Broadcast):
+    """For mapInArrow over (id, piece, start_token, size, rank): the container of each item, its run found by halving among those of its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = {size: np.array(x, np.int64) for size, x in slots.value.items()}
+        for batch in batches:
+            size, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            container = np.empty(len(size), np.int64)
+            order = np.argsort(size, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(size) else []:
+                first, begins, each = runs[int(size[at[0]])].T
+                i = np.searchsorted(first, rank[at], "right") - 1
+                container[at] = begins[i] + (rank[at] - first[i]) // each[i]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(container)], names=["id", "piece", "start_token", "n_tokens", "container"])
+
+    return run
+
+
+def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = 2048, group_rows: int = 100_000) -> DataFrame:
     """(id_col, piece, start_token, n_tokens, container): where each item, or piece of one, goes.
 
     Only an item above ``capacity`` is split, into pieces of exactly ``capacity``, each filling a container,
     and a rest that is packed like any item. Items of null or no size go nowhere. Containers count from 0
-    without gaps and never hold more than ``capacity``; the plan is the same for any order of the input.
+    without gaps and never hold more than ``capacity``; the plan is the same for any order of the input. A task ranks groups of
+    about ``group_rows`` items. The plan that is broadcast has a row for each size of each filling: with every filling at least one
+    size runs out or is left with too few for another, so it is bounded by the capacity, whatever the number of items.
     """
     spark = sizes.sparkSession
-    items = sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
+    items = sizes.select(F.col(id_col).cast("long").alias("id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
     parts = items.select("id", "size", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / capacity) - 1).cast("int"))).alias("piece"))
     parts = parts.withColumn("start_token", F.col("piece") * F.lit(capacity).cast("long"))
     parts = parts.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start_token")).cast("int"))
     parts = materialize(parts, "parts")
     counts = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    slots = _slots(plan(counts, capacity), 0)
-    table = spark.createDataFrame(slots, "slot_size int, low long, high long, first_container long, each int")
-    # A size's slots are runs of ranks: its rows know them all as one array, found by binary halves of no join.
-    runs = table.groupBy(F.col("slot_size").alias("size")).agg(F.array_sort(F.collect_list(F.struct("low", "high", "first_container", "each"))).alias("runs"))
-    placed = _ranked(parts).join(F.broadcast(runs), "size")
-    run = F.filter("runs", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") <= x["high"]))[0]
-    placed = placed.withColumn("run", run)
-    container = F.col("run.first_container") + F.floor((F.col("rank") - F.col("run.low")) / F.col("run.each"))
-    return placed.select(F.col("id").alias(id_col), "piece", "start_token", F.col("size").alias("n_tokens"), container.cast("long").alias("container"))
+    slots = spark.sparkContext.broadcast(_slots(plan(counts, capacity), 0))
+    ranked = _ranked(parts, {size: 1 + n // group_rows for size, n in counts.items()})
+    placed = ranked.mapInArrow(_containers(slots), "id long, piece int, start_token long, n_tokens int, container long")
+    return placed.withColumnRenamed("id", id_col)
