@@ -13,11 +13,16 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master; on a cluster that raises.
+
+    Executors of a cluster would each write to a disk of their own, and rows would be lost.
+    """
     global _LOCAL_DIR
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = "file://" + tempfile.mkdtemp(prefix="wardflow-")
     return _LOCAL_DIR

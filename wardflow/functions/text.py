@@ -3,23 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.literals import may_match
 
-#: The most characters that are scanned, kept or shown.
-REGEX_CAP, HTML_CAP, VISIBLE_CAP, ELEMENT_CAP = 200_000, 2_000_000, 500_000, 20_000
-CHUNK_CAP, ELEMENTS_CAP, PROMPT_CAP, INPUT_CAP = 100_000, 500, 20_000, 50_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """The most characters (elements) that are scanned, kept or shown; None for no limit. The defaults."""
+
+    regex: int | None = 200_000
+    html: int | None = 2_000_000
+    visible: int | None = 500_000
+    element: int | None = 20_000
+    chunk: int | None = 100_000
+    elements: int | None = 500
+    prompt: int | None = 20_000
+    input: int | None = 50_000
+
+
+_LIMITS = Limits()
+
+
+def limits() -> Limits:
+    return _LIMITS
+
+
+def configure(**over: int | None) -> Limits:
+    """Set some limits, and all others to their defaults, for plans that are built from here on; gives those that held before."""
+    global _LIMITS
+    before, _LIMITS = _LIMITS, Limits(**over)
+    return before
+
+
+def restore(before: Limits) -> None:
+    global _LIMITS
+    _LIMITS = before
+
+
 #: Levels in rising order, and the score that stands for each.
 LEVELS = ("safe", "low", "medium", "high", "critical")
 LEVEL_SCORES = {"safe": 0.0, "low": 0.25, "medium": 0.5, "high": 0.75, "critical": 1.0}
 
 
-def bounded(text: Column, cap: int = REGEX_CAP) -> Column:
-    """The first ``cap`` characters; null for null."""
-    return F.substring(text, 1, cap)
+def bounded(text: Column, limit: str = "regex") -> Column:
+    """The characters within a limit; null for null."""
+    cap = getattr(_LIMITS, limit)
+    return text if cap is None else F.substring(text, 1, cap)
 
 
 def hits(text: Column, pattern: str, cap: int | None = None, flags: str = "(?i)") -> Column:
@@ -134,9 +168,15 @@ def two(score: Column) -> Column:
     return F.format_string("%.2f", score)
 
 
+def _beyond(size: Column, limit: str) -> Column:
+    cap = getattr(_LIMITS, limit)
+    return F.lit(False) if cap is None else size > cap
+
+
 def with_texts(df: DataFrame, visible: str = "visible", hidden: str = "hidden") -> DataFrame:
     """Adds the joined variants that detectors scan, each made once: blanks, line ends and no separator between visible and hidden text.
 
+    ``truncated`` says whether a limit keeps part of a row from being scanned.
     Null visible text counts as empty, null hidden elements as none, null elements as empty.
     """
     elements = F.transform(F.coalesce(F.col(hidden), F.array().cast("array<string>")), lambda h: F.coalesce(h, F.lit("")))
@@ -145,6 +185,8 @@ def with_texts(df: DataFrame, visible: str = "visible", hidden: str = "hidden")
     spaced = F.concat_ws(" ", F.col(visible), joined)
     glued = F.concat(F.col(visible), joined)
     lines = F.concat_ws("\n", F.col(visible), F.array_join(hidden, "\n"))
+    long = F.exists(hidden, lambda h: _beyond(F.length(h), "chunk")) | _beyond(F.length(visible), "chunk") | _beyond(F.size(hidden), "elements")
+    df = df.withColumn("truncated", long | _beyond(F.length(visible) + F.length(joined) + 1, "regex"))
     return df.withColumns({"t_spaced": bounded(spaced), "t_glued": bounded(glued), "t_lines": bounded(lines)}).withColumns(
         {"t_spaced_lower": F.lower("t_spaced"), "t_glued_lower": F.lower("t_glued"), "t_lines_lower": F.lower("t_lines")}
     )

@@ -34,8 +34,8 @@ def weigh_context(df: DataFrame, text_col: str = "visible", prompt_col: str = "s
 
     A null or blank prompt gives no adjustment; a null text counts as empty.
     """
-    prompt = T.bounded(F.col(prompt_col), T.PROMPT_CAP)
-    text = T.bounded(F.coalesce(F.col(text_col), F.lit("")), T.INPUT_CAP)
+    prompt = T.bounded(F.col(prompt_col), "prompt")
+    text = T.bounded(F.coalesce(F.col(text_col), F.lit("")), "input")
     given = F.coalesce(F.trim(prompt) != "", F.lit(False))
     parts = F.when(given, F.struct(tokens(prompt).alias("p"), tokens(text).alias("t"), boundaries(prompt).alias("b"), T.any_of(F.lower(text), P.OVERRIDE_SIGNALS, "").alias("signal")))
     df = df.withColumn("ctx", parts)

@@ -190,8 +190,9 @@ REPETITION = r"(ignore|disregard|forget|override)"
 
 def injection_parts(df: DataFrame) -> DataFrame:
     """Adds ``inj``: findings of each family; visible text and every hidden element are scanned apart."""
-    visible = T.bounded(F.col("visible"), T.CHUNK_CAP)
-    hidden = F.transform(F.slice("hidden", 1, T.ELEMENTS_CAP), lambda h: T.bounded(h, T.CHUNK_CAP))
+    visible = T.bounded(F.col("visible"), "chunk")
+    most = T.limits().elements
+    hidden = F.transform(F.slice("hidden", 1, most) if most else F.col("hidden"), lambda h: T.bounded(h, "chunk"))
     df = df.withColumn("chunks", F.struct(visible.alias("v"), hidden.alias("h")))
     both = T.bounded(F.concat(F.col("chunks.v"), F.array_join("chunks.h", " ")))
     df = df.withColumn("t_chunks", both).withColumn("t_chunks_lower", F.lower("t_chunks")).withColumn("chunks_low", F.struct(F.lower("chunks.v").alias("v"), F.transform("chunks.h", F.lower).alias("h")))

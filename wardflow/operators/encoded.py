@@ -79,7 +79,7 @@ def decode(text: str, encoding: str, strict: bool = True, level: int = 0) -> tup
     return out, level
 
 
-_DECODED = "array<struct<encoding:string,run:string,decoded:string,depth:int>>"
+_DECODED = "array<struct<encoding:string,run:string,decoded:string,depth:int,place:int>>"
 
 
 def _decoder(strict: bool):
@@ -97,7 +97,9 @@ def _decoder(strict: bool):
 
 
 def with_decoded(df: DataFrame, text_col: str = "t_spaced", mode: str = "strict") -> DataFrame:
-    """Adds ``decoded``: array<struct<encoding, run, decoded, depth>> of the runs that decode, by encoding then place.
+    """Adds ``decoded``: array<struct<encoding, run, decoded, depth, place>> of the runs that decode, by encoding then place.
+
+    ``place`` counts the runs of an encoding from 1, those that don't decode too.
 
     Rows without a run of any encoding never leave the JVM.
     """
@@ -106,7 +108,7 @@ def with_decoded(df: DataFrame, text_col: str = "t_spaced", mode: str = "strict"
     text = F.col(text_col)
 
     def named(encoding: str) -> Column:
-        return F.transform(runs(text, encoding), lambda m: F.struct(F.lit(encoding).alias("encoding"), m.alias("run")))
+        return F.transform(runs(text, encoding), lambda m, i: F.struct(F.lit(encoding).alias("encoding"), m.alias("run"), (i + 1).alias("place")))
 
     found = F.concat(*[named(n) for n, _, _ in P.ENCODINGS])
     maybe = F.rlike(text, F.lit(MAYBE))
@@ -116,7 +118,7 @@ def with_decoded(df: DataFrame, text_col: str = "t_spaced", mode: str = "strict"
 
     def row(r: Column, d: Column) -> Column:
         depth, text = F.substring_index(d, ":", 1).cast("int"), F.substring(d, F.instr(d, ":") + 1, F.length(d))
-        return F.struct(r["encoding"].alias("encoding"), r["run"].alias("run"), text.alias("decoded"), depth.alias("depth"))
+        return F.struct(r["encoding"].alias("encoding"), r["run"].alias("run"), text.alias("decoded"), depth.alias("depth"), r["place"].alias("place"))
 
     some = F.filter(F.zip_with("runs", "decoded", row), lambda d: d["decoded"] != "")
     return df.withColumn("decoded", F.coalesce(some, F.array()).cast(_DECODED))
@@ -150,10 +152,10 @@ def severity(risk: Column) -> Column:
 
 
 def analyze_encoded(df: DataFrame, most: int = 5) -> DataFrame:
-    """Adds ``content_deobfuscator`` from ``runs`` and ``decoded``: up to ``most`` runs of each encoding are judged."""
+    """Adds ``content_deobfuscator`` from ``runs`` and ``decoded``: the first ``most`` runs of each encoding are judged, so far as they decode."""
 
     def first(encoding: str) -> Column:
-        return F.slice(F.filter("decoded", lambda d: d["encoding"] == encoding), 1, most)
+        return F.filter("decoded", lambda d: (d["encoding"] == encoding) & (d["place"] <= most))
 
     per = [first(n) for n, _, _ in P.ENCODINGS]
 
@@ -162,7 +164,7 @@ def analyze_encoded(df: DataFrame, most: int = 5) -> DataFrame:
         risk = encoding_risk(d["encoding"], d["depth"], labels)
         return R.finding("decoded_content", "content_deobfuscator", severity(risk), risk, d["encoding"], F.left(d["run"], F.lit(50)), F.array_join(labels, ","))
 
-    kinds = F.array_distinct(F.transform(F.coalesce("runs", F.array().cast("array<struct<encoding:string,run:string>>")), lambda r: r["encoding"]))
+    kinds = F.array_distinct(F.transform(F.coalesce("runs", F.array().cast("array<struct<encoding:string,run:string,place:int>>")), lambda r: r["encoding"]))
     df = df.withColumns({"enc_found": F.transform(F.concat(*per), of), "enc_kinds": kinds})
     several = F.size("enc_kinds") > 1
     risk = R.top(F.col("enc_found"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import zipfile
 from collections.abc import Callable
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from wardflow.functions import text as T
+
 #: Suffixes by how they are read.
 TEXT = (".txt", ".md", ".log", ".json", ".xml", ".html", ".htm", ".csv", ".py", ".js", ".yaml", ".yml")
 OFFICE = (".docx", ".xlsx", ".pptx", ".pdf")
@@ -153,6 +156,18 @@ def table_text(df: DataFrame) -> Column:
     return F.concat_ws(" | ", *[F.col(c).cast("string") for c in df.columns])
 
 
+def find_prompt(given: str | None = None, file: str = "agent_system_prompt.txt", variable: str = "WARDFLOW_AGENT_SYSTEM_PROMPT") -> str | None:
+    """The system prompt given, else that of a file, else that of an environment variable, within its limit; None if there is none."""
+    if not given:
+        try:
+            with open(file, encoding="utf-8") as f:
+                given = f.read().strip()
+        except (OSError, UnicodeDecodeError):
+            pass
+    given = given or os.environ.get(variable)
+    return given[: T.limits().prompt] if given else None
+
+
 def resolve_prompt(given: Column, default: str | None) -> Column:
-    """The system prompt of a row, else the default, of at most 20,000 characters."""
-    return F.substring(F.coalesce(F.when(F.trim(given) != "", given), F.lit(default)), 1, 20_000)
+    """The system prompt of a row, else the default, within its limit."""
+    return T.bounded(F.coalesce(F.when(F.trim(given) != "", given), F.lit(default)), "prompt")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,21 @@ def audit_events(df: DataFrame) -> DataFrame:
     )
 
 
+def log_to_console(level: int = logging.INFO) -> logging.Logger:
+    """The library's logger, writing time, name, level and message; set up once."""
+    log = logging.getLogger("wardflow")
+    if not log.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s - %(name)s - %(levelname)s - %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(level)
+    return log
+
+
 def append_events(events: DataFrame, folder: str) -> None:
     """Append events as JSON lines; concurrent appends add files and never rewrite any."""
     events.write.mode("append").json(folder)
+    logging.getLogger("wardflow").info("security events logged: %s", folder)
 
 
 def response(df: DataFrame) -> DataFrame:
