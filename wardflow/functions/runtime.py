@@ -40,6 +40,13 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str = "files") -> str:
+    """A new folder in the shared one, deleted like the tables of :func:`materialize`."""
+    path = f"{shared_dir(spark)}/wardflow-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def release() -> None:
     """Delete every table written by :func:`materialize` in this process."""
     while _WRITTEN:

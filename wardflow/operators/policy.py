@@ -275,8 +275,71 @@ def all_findings(df: DataFrame) -> Column:
     return F.flatten(F.array(*[F.coalesce(F.col(m)["findings"], R.none()) for m in present(df)]))
 
 
+#: The sections of the multi-signal policy's reasoning, by module, in order, and its last line by decision.
+SECTIONS = (
+    ("houyi_pattern_detector", "HOUYI Pattern Analysis:"),
+    ("semantic_threat_detector", "Semantic Analysis:"),
+    ("content_deobfuscator", "De-obfuscation Analysis:"),
+    ("ocr_content_analyzer", "OCR Analysis:"),
+    ("agentic_intent_detector", "AGENTIC INTENT DETECTED:"),
+)
+OUTCOMES = (
+    ("block", "Action: Content BLOCKED due to critical security threats or malicious/instructional intent."),
+    ("require_approval", "Action: HUMAN APPROVAL REQUIRED - instructional, agentic, or ambiguous content detected."),
+    ("sanitize", "Action: Content sanitized - suspicious elements removed before processing."),
+    ("allow", "Action: Content allowed - classified as purely descriptive with minimal risk."),
+)
+
+
+def _context_section(df: DataFrame) -> Column:
+    if "context" not in df.columns:
+        return F.lit(None).cast("string")
+    c = F.col("context")
+    return F.when(c["risk_adjustment"] != 0, F.format_string("System-Prompt Context Analysis:\n- %s (adjustment: %+.2f)\n", c["explanation"], c["risk_adjustment"]))
+
+
+def _module_section(module: str, title: str) -> Column:
+    r = F.col(module)
+    lines = [F.concat(F.lit(f"{title}\n- "), r["details"])]
+    if module == "houyi_pattern_detector":
+        severe = R.number(r["findings"], severity="critical")
+        lines.append(F.when(severe > 0, F.format_string("- %d critical HOUYI indicator(s)", severe)))
+    if module == "agentic_intent_detector":
+        actions = F.array_sort(F.array_distinct(F.transform(F.filter(r["findings"], lambda f: f["type"] == "action_request"), lambda f: f["label"])))
+        lines.append(F.when(F.size(actions) > 0, F.concat(F.lit("- Requested actions: "), F.array_join(actions, ", "))))
+        lines.append(F.when(R.has(r["findings"], "permission_bypass"), F.lit("- CRITICAL: Attempts to bypass user permission/approval")))
+        lines.append(F.when(R.has(r["findings"], "link_action"), F.lit("- CRITICAL: Link-based action or data exfiltration detected")))
+    return F.when(r["risk_level"] != "safe", F.concat(F.concat_ws("\n", *lines), F.lit("\n")))
+
+
+def reasoning_multi_signal(df: DataFrame) -> Column:
+    """The decision in sections: intent, context, each module that isn't safe, other critical and high results, and what is done. Actions are sorted."""
+    have = present(df)
+    own = {m for m, _ in SECTIONS} | {"intent_classifier"}
+
+    def results(level: str, title: str) -> Column:
+        found = F.array_compact(F.array(*[F.when(F.col(m)["risk_level"] == level, F.concat(F.lit(f"- {m}: "), F.col(m)["details"])) for m in have if m not in own]))
+        return F.when(F.size(found) > 0, F.concat(F.lit(f"{title}\n"), F.array_join(found, "\n"), F.lit("\n")))
+
+    last = F.lit(None).cast("string")
+    for decision, text in OUTCOMES:
+        last = F.when(F.col("decision") == decision, text).otherwise(last)
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("PRIMARY INTENT: "), F.upper("primary_intent")),
+        F.format_string("Risk Assessment: %s (score: %.2f)", F.upper("overall_risk"), F.col("risk_score")),
+        F.concat(F.lit("Decision: "), F.upper("decision"), F.lit("\n")),
+        F.concat(F.lit("Intent Analysis:\n- "), F.col("intent_classifier.details"), F.lit("\n")) if "intent_classifier" in have else F.lit(None).cast("string"),
+        _context_section(df),
+        *[_module_section(m, title) for m, title in SECTIONS if m in have],
+        results("critical", "Critical Threats:"),
+        results("high", "High-Risk Findings:"),
+        last,
+    )
+
+
 def reasoning(df: DataFrame) -> Column:
-    """The decision in ordered lines: source, intent, risk, decision, override, context, modules of high risk."""
+    """The effective policy's decision in ordered lines: source, intent, risk, decision, override, context, modules of high risk."""
     severe = F.array_compact(F.array(*[F.when(F.col(m)["risk_level"].isin("high", "critical"), F.concat(F.lit(f"  - {m}: "), F.col(m)["details"])) for m in present(df)]))
     lines = [
         F.concat(F.lit("DECISION SOURCE: "), F.upper(F.col("decision_source") if "decision_source" in df.columns else F.lit("rule_based"))),
@@ -287,9 +350,7 @@ def reasoning(df: DataFrame) -> Column:
     ]
     if "override_reason" in df.columns:
         lines.append(F.when(F.col("override_reason").isNotNull(), F.concat(F.lit("CRITICAL OVERRIDE APPLIED: "), F.col("override_reason"), F.lit("\n"))))
-    if "context" in df.columns:
-        c = F.col("context")
-        lines.append(F.when(c["risk_adjustment"] != 0, F.format_string("System-Prompt Context Analysis:\n- %s (adjustment: %+.2f)\n", c["explanation"], c["risk_adjustment"])))
+    lines.append(_context_section(df))
     lines.append(F.when(F.size(severe) > 0, F.concat(F.lit("Critical Findings:\n"), F.array_join(F.slice(severe, 1, 5), "\n"), F.lit("\n"))))
     return F.concat_ws("\n", *lines)
 
@@ -313,4 +374,4 @@ def decide(df: DataFrame, policy: str = "effective", config: Config = Config(),
     matched = F.transform(all_findings(df), lambda f: f["matched_text"])
     clean = F.when(F.col("decision") == "sanitize", sanitise(F.col("visible"), matched, policy == "multi_signal"))
     df = df.withColumns({"restricted_capabilities": restricted_capabilities(F.col("restrictions"), policy == "multi_signal"), "sanitized_content": clean, "intent_confidence": F.col("intent_classifier.confidence")})
-    return df.withColumn("reasoning", reasoning(df))
+    return df.withColumn("reasoning", reasoning(df) if policy == "effective" else reasoning_multi_signal(df))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardflow.functions import patterns as P
 from wardflow.functions import text as T
 from wardflow.functions.config import Config
+from wardflow.functions.runtime import scratch
 from wardflow.operators import context as C
 from wardflow.operators import detectors as D
 from wardflow.operators import guard as G
@@ -35,11 +36,29 @@ _EFF = lambda a: f"CASE WHEN {a}.score > 0 THEN {a}.score ELSE CASE {a}.level WH
 _SUM = " + ".join(f"({_EFF(a)}) * {a}.conf * {_W[m]}::DOUBLE" for a, m in _MODULES)
 _FLOOR = "CASE int_r.intent " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _F.items()) + " ELSE 0.0 END"
 _JOIN = "int_r" + "".join(f" JOIN {a} USING (input_id)" for a, _ in _MODULES[1:])
-POLICY_SQL = f"""{content_sql()}, {Q0.INTENT_SQL}, {Q0.HIDDEN_SQL}, {Q0.INJ_SQL}, {Q0.EXF_SQL}, {Q0.AGT_SQL}, {Q0.HOU_SQL},
-pol0 AS (SELECT input_id, int_r.intent, ({_SUM}) / ({' + '.join(f'{_W[m]}::DOUBLE' for _, m in _MODULES)}) AS weighted, {_FLOOR} AS floor, hid.sc > 0 AS script, agt_r.bypass, hid_r.score AS hs, inj_r.score AS js FROM {_JOIN} JOIN hid USING (input_id)),
+_SIX = f"""{Q0.INTENT_SQL}, {Q0.HIDDEN_SQL}, {Q0.INJ_SQL}, {Q0.EXF_SQL}, {Q0.AGT_SQL}, {Q0.HOU_SQL}"""
+_EFFECTIVE = f"""pol0 AS (SELECT input_id, int_r.intent, ({_SUM}) / ({' + '.join(f'{_W[m]}::DOUBLE' for _, m in _MODULES)}) AS weighted, {_FLOOR} AS floor, hid.sc > 0 AS script, agt_r.bypass, hid_r.score AS hs, inj_r.score AS js FROM {_JOIN} JOIN hid USING (input_id)),
 pol AS (SELECT *, least(1.0, greatest(least(1.0, greatest(weighted, floor)), CASE WHEN script THEN 0.9 ELSE 0.0 END, CASE WHEN bypass THEN 0.85 ELSE 0.0 END, CASE WHEN intent = 'malicious' THEN 0.9 ELSE 0.0 END)) AS risk FROM pol0),
 pol2 AS (SELECT *, {Q.ladder('risk', 0.8, 0.6, 0.4, 0.15)} AS level, CASE WHEN intent = 'malicious' OR risk >= 0.75 THEN 'block' WHEN risk >= 0.4 AND (CASE WHEN hs > 0.4 THEN 1 ELSE 0 END + CASE WHEN js > 0.4 THEN 1 ELSE 0 END) >= 2 THEN 'require_approval'
  WHEN risk >= 0.2 THEN 'sanitize' WHEN intent = 'descriptive' AND risk < 0.15 THEN 'allow' ELSE 'sanitize' END AS decision FROM pol)"""
+POLICY_SQL = f"{content_sql()}, {_SIX}, {_EFFECTIVE}"
+
+_CAL = "CASE int_r.intent " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in POL.CALIBRATED.items()) + " ELSE 0.15 END"
+_SERIOUS = "IN ('medium', 'high', 'critical')"
+_RISING = lambda block, approve: f"CASE WHEN risk >= {block} THEN 'block' WHEN risk >= {approve} AND aligned THEN 'require_approval' ELSE 'sanitize' END"
+MULTI_SQL = f"""{content_sql()}, {_SIX},
+m0 AS (SELECT input_id, int_r.intent, greatest(({_SUM}) / ({' + '.join(f'{_W[m]}::DOUBLE' for _, m in _MODULES)}), least(0.1, {_CAL}))::DOUBLE AS base, hou_r.score AS hs, hou_r.level AS hl, agt_r.score AS gs, agt_r.level AS gl, agt_r.bypass, rc > 0 AS by_permission, n9 > 0 AS leak, nr > 0 AS retask,
+ f > 0 OR ns > 0 AS seps, n7 + n9 + n6 > 0 AS disrupts, ra > 0 OR rb >= 0.7 OR rc > 0 OR rd > 0 AS strong, exf_r.level IN ('high', 'critical') AS exfil, inj_r.level IN ('high', 'critical') AS inject,
+ (CASE WHEN hid_r.level {_SERIOUS} AND kw + ob + sc > 0 THEN 1 ELSE 0 END + CASE WHEN inj_r.level {_SERIOUS} AND inj_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN agt_r.level {_SERIOUS} AND agt_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN hou_r.level {_SERIOUS} AND hou_r.score > 0.5 THEN 1 ELSE 0 END) >= 2 AS aligned
+ FROM {_JOIN} JOIN hid USING (input_id) JOIN ag USING (input_id) JOIN ho USING (input_id)),
+m1 AS (SELECT *, CASE WHEN leak THEN least(1.0, greatest(base, hs) + 0.2::DOUBLE) ELSE greatest(base, hs) END AS b1 FROM m0),
+m2 AS (SELECT *, CASE WHEN hl = 'safe' THEN base WHEN seps AND disrupts THEN CASE WHEN retask THEN least(1.0, b1 + 0.15::DOUBLE) ELSE b1 END ELSE greatest(base, hs * 0.6::DOUBLE) END AS b2 FROM m1),
+m3 AS (SELECT *, greatest(CASE WHEN intent = 'malicious' THEN 0.9 ELSE 0.0 END, least(1.0, greatest(b2, CASE WHEN gl {_SERIOUS} AND strong THEN 0.5 ELSE 0.0 END, CASE WHEN intent NOT IN ('descriptive', 'ambiguous') THEN 0.2 ELSE 0.0 END))) AS risk FROM m2),
+m4 AS (SELECT *, {Q.ladder('risk', 0.8, 0.6, 0.4, 0.15)} AS level, CASE WHEN intent = 'malicious' THEN 'block' WHEN hl IN ('high', 'critical') AND (leak OR (seps AND disrupts AND hs >= 0.75)) THEN 'block' WHEN hl IN ('high', 'critical') AND seps AND disrupts THEN 'require_approval'
+ WHEN intent = 'conditional_instructional' THEN {_RISING(0.8, 0.6)} WHEN intent = 'instructional' THEN {_RISING(0.8, 0.55)} WHEN intent = 'ambiguous' THEN {_RISING(0.75, 0.55)}
+ WHEN gl {_SERIOUS} THEN CASE WHEN bypass OR risk >= 0.75 THEN 'block' WHEN risk >= 0.5 THEN 'require_approval' ELSE 'sanitize' END WHEN risk >= 0.75 THEN 'block' WHEN risk >= 0.4 AND aligned THEN 'require_approval'
+ WHEN risk >= 0.2 THEN 'sanitize' WHEN intent = 'descriptive' AND risk < 0.15 THEN 'allow' ELSE 'sanitize' END AS decision FROM m3),
+m5 AS (SELECT *, CASE WHEN intent IN ('malicious', 'conditional_instructional') THEN 1 WHEN intent = 'instructional' THEN 2 WHEN intent = 'ambiguous' THEN 3 WHEN bypass THEN 4 WHEN level = 'critical' THEN 5 WHEN gl {_SERIOUS} THEN 6 WHEN level = 'high' THEN 7 WHEN level = 'medium' THEN 8 ELSE 9 END AS c FROM m4)"""
 
 
 @query(f"{POLICY_SQL} SELECT input_id, round(weighted, 6) AS weighted_risk, round(floor, 6) AS intent_floor FROM pol0")
@@ -64,6 +83,24 @@ def policy_restrictions(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("input_id", "restrictions.mode", "restrictions.max_output_length", F.array_join("restricted_capabilities", ",").alias("capabilities"))
 
 
+@query(f"{MULTI_SQL} SELECT input_id, intent AS primary_intent, round(risk, 6) AS risk_score, level AS overall_risk, decision FROM m5")
+def policy_decision_multi_signal(spark: SparkSession, sf: str) -> DataFrame:
+    df = POL.decide(_six(spark, sf), "multi_signal")
+    return df.select("input_id", "primary_intent", r6(F.col("risk_score")).alias("risk_score"), "overall_risk", "decision")
+
+
+@query(
+    f"""{MULTI_SQL} SELECT input_id, CASE c WHEN 1 THEN 'ACTION_DISABLED' WHEN 2 THEN 'APPROVAL_REQUIRED' WHEN 3 THEN 'READ_ONLY' WHEN 4 THEN 'ACTION_DISABLED' WHEN 5 THEN 'ACTION_DISABLED' WHEN 6 THEN 'APPROVAL_REQUIRED' WHEN 7 THEN 'RESTRICTED' WHEN 8 THEN 'READ_ONLY' ELSE 'NORMAL' END AS mode,
+ CASE WHEN c IN (1, 4, 5) THEN 500 WHEN c IN (2, 6, 7) THEN 1000 WHEN c = 3 THEN 1500 WHEN c = 8 THEN 2000 END::INTEGER AS max_output_length, c IN (1, 2, 4, 6) AS requires_approval,
+ CASE c WHEN 1 THEN 'Content classified as ' || intent WHEN 2 THEN 'Instructional content requires approval' WHEN 4 THEN 'Permission bypass or link action detected' WHEN 6 THEN 'Agentic action request requires human approval' END AS approval_reason,
+ c = 9 OR (c IN (7, 8) AND NOT exfil) AS allow_web_access, c = 9 OR c = 8 OR (c = 7 AND NOT inject) AS allow_tool_use, c = 9 AS allow_file_write, CASE WHEN c >= 4 AND (exfil OR (bypass AND NOT by_permission) OR rd_link) THEN 6 ELSE 0 END::INTEGER AS n_blocked FROM (SELECT m5.*, ag.rd > 0 AS rd_link FROM m5 JOIN ag USING (input_id))"""
+)
+def policy_restrictions_multi_signal(spark: SparkSession, sf: str) -> DataFrame:
+    df = POL.decide(_six(spark, sf), "multi_signal")
+    names = ("mode", "max_output_length", "requires_approval", "approval_reason", "allow_web_access", "allow_tool_use", "allow_file_write")
+    return df.select("input_id", *[f"restrictions.{n}" for n in names], F.size("restrictions.blocked_patterns").alias("n_blocked"))
+
+
 _INJ_HITS = "list_concat(" + ", ".join(Q.hits("visible", p) for p, _ in P.INJECTIONS) + ")"
 
 
@@ -120,7 +157,17 @@ def guard_action_check(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("action_id", "received_at", "allowed", verdict.alias("verdict"))
 
 
-@query()
+_RULE = "=" * 60
+_OFF = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN NOT {c} THEN {Q.quoted(text)} END" for c, text in G.OFF_LINES) + ")"
+_BODY = f"""CASE restriction_mode WHEN 'ACTION_DISABLED' THEN {Q.quoted(G.DISABLED)} WHEN 'APPROVAL_REQUIRED' THEN {Q.quoted(G.APPROVAL[0])} || coalesce(approval_reason, 'None') || {Q.quoted(G.APPROVAL[1])}
+ WHEN 'READ_ONLY' THEN {Q.quoted(G.READ_ONLY)} ELSE nullif({_OFF}, '') END"""
+
+
+@query(
+    f"""WITH {_LATEST} SELECT session_id, concat_ws(chr(10), '{_RULE}', 'SECURITY RESTRICTIONS ACTIVE', '{_RULE}', CASE WHEN restriction_mode <> 'NORMAL' THEN 'MODE: ' || restriction_mode || chr(10) END, {_BODY},
+ CASE WHEN max_output_length > 0 THEN '- Output length is LIMITED to ' || max_output_length || ' characters.' END, CASE WHEN len(blocked_patterns) > 0 THEN '- Blocked patterns: ' || array_to_string(blocked_patterns[1:3], ', ') END,
+ '', 'Any attempt to bypass these restrictions will be logged and blocked.', '{_RULE}') AS prompt_addition, to_json({{{', '.join(f"'{c}': {c}" for c in G.FIELDS)}}})::VARCHAR AS policy FROM latest"""
+)
 def guard_prompt_additions(spark: SparkSession, sf: str) -> DataFrame:
     latest = G.latest_restrictions(spark.read.parquet(f"{sf}/agent_restrictions.parquet"))
     return G.serialise(G.prompt_addition(latest)).select("session_id", "prompt_addition", "policy")
@@ -154,11 +201,38 @@ def assess_findings(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.findings_table(df).groupBy("module_name", "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("input_id").alias("n_inputs"))
 
 
-@query()
+_RESULTS = " UNION ALL ".join(f"SELECT input_id, '{m}' AS module_name, level AS risk_level, round(score, 6) AS risk_score, round(conf, 6) AS confidence FROM {a}" for a, m in _MODULES)
+
+
+@query(f"{content_sql()}, {_SIX} {_RESULTS}")
 def assess_module_results(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.module_results(pipeline.analyze(content_inputs(spark, sf)))
+    rows = pipeline.module_results(_six(spark, sf))
+    return rows.select("input_id", "module_name", "risk_level", r6(F.col("risk_score")).alias("risk_score"), r6(F.col("confidence")).alias("confidence"))
 
 
-@query()
+@query(
+    f"""{POLICY_SQL} SELECT sha256(input_id::VARCHAR || chr(31) || visible) AS event_id, 'security_assessment' AS event_type, level AS severity, input_id::VARCHAR AS input_source, decision, 6 AS n_modules, intent AS primary_intent,
+ length(visible)::VARCHAR AS visible_length, len(hidden)::VARCHAR AS hidden_elements FROM pol2 JOIN t USING (input_id)"""
+)
 def assess_audit_events(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.audit_events(pipeline.assess(content_inputs(spark, sf))).drop("timestamp")
+    """The events as they are read back from the files that they were appended to."""
+    events = sinks.audit_events(POL.decide(_six(spark, sf)))
+    folder = scratch(spark, "events")
+    sinks.append_events(events, folder)
+    e, m = spark.read.schema(events.schema).json(folder), F.col("metadata")
+    return e.select("event_id", "event_type", "severity", "input_source", "decision", F.size("findings").alias("n_modules"), *[m[k].alias(k) for k in ("primary_intent", "visible_length", "hidden_elements")])
+
+
+_FIRST_INJ = " UNION ALL ".join(f"SELECT input_id, visible, unnest({Q.hits(Q0._CHUNK, p)}) AS m, {i} AS p FROM t" for i, (p, _) in enumerate(P.INJECTIONS))
+
+
+@query(
+    f"""{document_sql()}, h AS (SELECT *, row_number() OVER () AS o FROM ({_FIRST_INJ})), k AS (SELECT *, row_number() OVER (PARTITION BY input_id, p, m ORDER BY o) AS nth FROM h),
+l AS (SELECT *, (list_sum(list_transform(string_split(lower(visible), m)[1:nth], lambda x: length(x))) + (nth - 1) * length(m))::BIGINT AS char_offset FROM k)
+SELECT input_id, m AS matched_text, char_offset, (length(substr(visible, 1, char_offset)) - length(replace(substr(visible, 1, char_offset), chr(10), '')) + 1)::INTEGER AS line_number, CASE WHEN char_offset > 0 THEN right(trim(substr(visible, greatest(char_offset - 50, 0) + 1, least(char_offset, 50))), 20) END AS context_before FROM l"""
+)
+def finding_locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the injection patterns stand in the visible text of every document."""
+    rows = pipeline.located_findings(D.detect_injection(T.with_texts(document_inputs(spark, sf))))
+    rows = rows.filter("type = 'injection_pattern' AND channel = 'visible'")
+    return rows.select("input_id", "matched_text", F.col("location.char_offset").cast("long").alias("char_offset"), "location.line_number", "location.context_before")
