@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +38,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
+def _nearest(bank: Broadcast):
+    """For mapInArrow over (id, vector): the nearest concept of each vector, all of a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, categories, matrix = bank.value
+        length = np.sqrt((matrix * matrix).sum(axis=1))
+        some = np.flatnonzero(length > 0)
+        for batch in batches:
+            v = batch.column(1)
+            sizes = np.array([len(x) if x is not None else -1 for x in v.to_pylist()]) if v.null_count else np.diff(v.offsets.to_numpy())
+            rows = np.flatnonzero(sizes == matrix.shape[1]) if len(some) else np.array([], np.int64)
+            x = np.array(v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), -1) if len(rows) else np.zeros((0, matrix.shape[1]))
+            norm = np.sqrt((x * x).sum(axis=1))
+            keep = np.flatnonzero(norm > 0)
+            rows, x, norm = rows[keep], x[keep], norm[keep]
+            # The bank is in the order of its ids, and argmax takes the first of equal ones.
+            sims = np.round(x @ matrix[some].T / (norm[:, None] * length[some]), 12)
+            best = sims.argmax(axis=1) if len(rows) else np.array([], np.int64)
+            at = some[best] if len(rows) else best
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array(ids[at]), pa.array([categories[i] for i in at], pa.string()), pa.array(sims[np.arange(len(rows)), best])], names=["id", "concept_id", "category", "similarity"]
+            )
+
+    return run
+
+
 def nearest_concepts(vectors: DataFrame, concepts: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id_col, concept_id, category, similarity): the nearest concept of each vector; ties go to the smallest concept id.
 
-    ``concepts``: concept_id, category, embedding. The table is checked to be small and joined to every vector by
-    broadcast. Vectors of no length have no nearest concept.
+    ``concepts``: concept_id, category, embedding. The table is checked to be small and broadcast; a batch of vectors meets it in
+    one matrix product. Vectors that are null, of no length or of another dimension have no nearest concept, nor has any if there are
+    no concepts. Concepts of another dimension than the first one's raise. Similarities are rounded to 12 places, so that ties are told alike everywhere.
     """
-    if concepts.limit(MAX_CONCEPTS + 1).count() > MAX_CONCEPTS:
+    rows = concepts.select(F.col("concept_id").cast("long"), "category", "embedding").filter("embedding IS NOT NULL").limit(MAX_CONCEPTS + 1).collect()
+    if len(rows) > MAX_CONCEPTS:
         raise ValueError("too many concepts")
-    bank = concepts.agg(F.array_sort(F.collect_list(F.struct("concept_id", "category", "embedding"))).alias("bank"))
-    scored = vectors.select(id_col, vector_col).join(F.broadcast(bank))  # one row
-    all_of = F.transform("bank", lambda c: F.struct(cosine(F.col(vector_col), c["embedding"]).alias("similarity"), (-c["concept_id"]).alias("order"), c["category"].alias("category")))
-    best = scored.select(id_col, F.array_max(F.filter(all_of, lambda s: s["similarity"].isNotNull())).alias("best")).filter("best IS NOT NULL")
-    return best.select(id_col, (-F.col("best.order")).alias("concept_id"), F.col("best.category").alias("category"), F.col("best.similarity").alias("similarity"))
+    rows = sorted(rows, key=lambda r: r[0])
+    if len({len(r["embedding"]) for r in rows}) > 1:
+        raise ValueError("concepts of several dimensions")
+    bank = (np.array([r["concept_id"] for r in rows], np.int64), [r["category"] for r in rows], np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1))
+    given = vectors.sparkSession.sparkContext.broadcast(bank)
+    typed = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    out = typed.mapInArrow(_nearest(given), f"id {vectors.schema[id_col].dataType.simpleString()}, concept_id long, category string, similarity double")
+    return out.withColumnRenamed("id", id_col)
 
 
 def category_maxima(nearest: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -75,14 +75,14 @@ def scan_hidden_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT coalesce(nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1), ''), 'none') AS scheme, count(DISTINCT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS n_domains, count(*) AS n
- FROM (SELECT coalesce(element_at(metadata, 'url')[1], '') AS url FROM extracted_content) GROUP BY 1"""
+    """SELECT coalesce(nullif(lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)), ''), 'none') AS scheme, count(DISTINCT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS n_domains, count(*) AS n
+ FROM (SELECT element_at(metadata, 'url')[1] AS url, coalesce(raw_html, visible_text) AS raw FROM extracted_content) WHERE url IS NOT NULL AND raw IS NOT NULL GROUP BY 1"""
 )
 def scan_page_domains(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/extracted_content.parquet").select(F.coalesce(F.col("metadata")["url"], F.lit("")).alias("url"))
-    scheme = F.coalesce(F.nullif(F.regexp_extract("url", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.lit("")), F.lit("none"))
-    domain = F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    return df.groupBy(scheme.alias("scheme")).agg(F.countDistinct(domain).alias("n_domains"), F.count(F.lit(1)).alias("n"))
+    df = spark.read.parquet(f"{sf}/extracted_content.parquet").select(F.coalesce("raw_html", "visible_text").alias("raw"), F.col("metadata")["url"].alias("url"))
+    m = F.col("metadata")
+    pages = H.extract(df.filter("url IS NOT NULL AND raw IS NOT NULL"), url_col="url")
+    return pages.groupBy(F.coalesce(F.nullif(m["scheme"], F.lit("")), F.lit("none")).alias("scheme")).agg(F.countDistinct(m["domain"]).alias("n_domains"), F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -120,10 +120,11 @@ def inj_switches_roles(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("input_id", F.size("inj.switches").cast("long").alias("n_switches"), F.size("inj.roles").cast("long").alias("n_roles"))
 
 
-@query(f"{CONTENT}, {INJ_SQL} SELECT input_id, n_repeated, n_structure FROM inj")
+@query(f"{CONTENT}, {INJ_SQL} SELECT input_id, CASE WHEN n_repeated >= 3 THEN n_repeated END AS n_repeated, n_structure FROM inj")
 def inj_repetition(spark: SparkSession, sf: str) -> DataFrame:
     df = D.injection_parts(_content(spark, sf))
-    return df.select("input_id", F.regexp_count(F.lower("t_chunks"), F.lit(D.REPETITION)).cast("long").alias("n_repeated"), F.size("inj.structure").cast("long").alias("n_structure"))
+    repeated = F.get(F.filter("inj.structure", lambda f: f["type"] == "repetition_attack"), 0)["label"]
+    return df.select("input_id", repeated.cast("long").alias("n_repeated"), F.size("inj.structure").cast("long").alias("n_structure"))
 
 
 @query(f"{CONTENT}, {INJ_SQL} SELECT input_id, round(score, 6) AS risk_score, level AS risk_level, round(conf, 6) AS confidence FROM inj_r")
@@ -370,3 +371,15 @@ def semantic_cosine_argmax(spark: SparkSession, sf: str) -> DataFrame:
 def semantic_category_max(spark: SparkSession, sf: str) -> DataFrame:
     hits = S.category_maxima(_nearest(spark, sf), "vec_id", 0.2)
     return hits.groupBy("category").agg(F.count(F.lit(1)).alias("n"), r6(F.max("similarity")).alias("most"))
+
+
+@query(
+    f"WITH {_BANK}, s AS (SELECT e.vec_id, b.concept_id, b.category, {_COS} AS sim FROM embeddings e CROSS JOIN bank b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, concept_id) AS k FROM s WHERE sim IS NOT NULL), "
+    "x AS (SELECT r.vec_id, e.label, r.category, r.sim FROM r JOIN embeddings e USING (vec_id) WHERE k = 1 AND sim > 0.2), c AS (SELECT label, category, max(sim) AS m FROM x GROUP BY 1, 2), "
+    "g AS (SELECT label, max(m) AS most, count(*) AS n FROM c GROUP BY 1) SELECT label, n AS n_categories, round(most, 6) AS most, round(least(1.0, most * 0.7 * least(1.3, 1.0 + n * 0.1)), 6)::DOUBLE AS risk FROM g"
+)
+def semantic_risk_by_label(spark: SparkSession, sf: str) -> DataFrame:
+    """The semantic risk of all vectors of a label, as if they were the sentences of one text."""
+    near = _nearest(spark, sf).join(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label"), "vec_id")
+    risk = S.semantic_risk(S.category_maxima(near, "label", 0.2), "label")
+    return risk.select("label", "n_categories", r6(F.col("most")).alias("most"), r6(F.col("risk")).alias("risk"))

@@ -89,6 +89,17 @@ inputs AS (SELECT content_id AS input_id, coalesce(visible_text, '') || ' ' || p
 {_TEXTS}"""
 
 
+def sample_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled samples as they are, nothing planted: (input_id, label, split_name, visible, hidden)."""
+    df = spread(spark.read.parquet(f"{sf}/training_samples.parquet").filter("label IS NOT NULL"))
+    return df.select(F.col("sample_id").alias("input_id"), "label", "split_name", F.coalesce("text", F.lit("")).alias("visible"), F.array().cast("array<string>").alias("hidden"))
+
+
+def sample_sql() -> str:
+    return f"""WITH inputs AS (SELECT sample_id AS input_id, coalesce(text, '') AS visible, CAST([] AS VARCHAR[]) AS hidden FROM training_samples WHERE label IS NOT NULL),
+{_TEXTS}"""
+
+
 def document_sql() -> str:
     return f"""WITH {_PAYLOADS}, {_PROMPTS},
 inputs AS (SELECT doc_id AS input_id, coalesce(text, '') || ' ' || pv AS visible, CASE WHEN ph = '' THEN CAST([] AS VARCHAR[]) ELSE [ph] END AS hidden, system_prompt

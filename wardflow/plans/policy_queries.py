@@ -12,12 +12,13 @@ from wardflow.functions.runtime import scratch
 from wardflow.operators import context as C
 from wardflow.operators import detectors as D
 from wardflow.operators import guard as G
+from wardflow.operators import learn as L
 from wardflow.operators import policy as POL
 from wardflow.plans import detector_queries as Q0
 from wardflow.plans import pipeline
 from wardflow.plans import sql as Q
 from wardflow.plans.catalog import query
-from wardflow.plans.planted import content_inputs, content_sql, document_inputs, document_sql
+from wardflow.plans.planted import content_inputs, content_sql, document_inputs, document_sql, sample_inputs, sample_sql
 from wardflow.sources import sinks
 
 r6 = Q0.r6
@@ -27,7 +28,11 @@ _F = Config().values["intent_risk_floors"]
 
 def _six(spark: SparkSession, sf: str) -> DataFrame:
     """The results of the six modules that SQL can express."""
-    df = D.classify_intent(T.with_texts(content_inputs(spark, sf)))
+    return _six_of(content_inputs(spark, sf))
+
+
+def _six_of(rows: DataFrame) -> DataFrame:
+    df = D.classify_intent(T.with_texts(rows))
     return D.detect_hijack(D.detect_agentic(D.detect_exfiltration(D.detect_injection(D.analyze_hidden(df)))))
 
 
@@ -223,6 +228,15 @@ def assess_audit_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "event_type", "severity", "input_source", "decision", F.size("findings").alias("n_modules"), *[m[k].alias(k) for k in ("primary_intent", "visible_length", "hidden_elements")])
 
 
+@query(
+    f"""{sample_sql()}, {_SIX}, {_EFFECTIVE} SELECT label, CASE WHEN decision IN ('block', 'require_approval') THEN 1 ELSE 0 END AS prediction, count(*) AS n FROM pol2 JOIN training_samples s ON s.sample_id = pol2.input_id GROUP BY 1, 2"""
+)
+def labels_vs_decision_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels against the effective policy's decision; what is stopped counts as an attack."""
+    df = POL.decide(_six_of(sample_inputs(spark, sf)))
+    return L.confusion(df.withColumn("prediction", F.col("decision").isin("block", "require_approval").cast("int")))
+
+
 _FIRST_INJ = " UNION ALL ".join(f"SELECT input_id, visible, unnest({Q.hits(Q0._CHUNK, p)}) AS m, {i} AS p FROM t" for i, (p, _) in enumerate(P.INJECTIONS))
 
 

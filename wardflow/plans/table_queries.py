@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from wardflow.functions import patterns as P
 from wardflow.functions import text as T
 from wardflow.functions.config import Config
-from wardflow.functions.runtime import materialize
+from wardflow.functions.runtime import materialize, scratch
 from wardflow.operators import detectors as D
 from wardflow.operators import findings as R
 from wardflow.operators import learn as L
 from wardflow.plans import pipeline
 from wardflow.plans import sql as Q
 from wardflow.plans.catalog import query
-from wardflow.plans.planted import PAYLOADS, document_inputs, document_sql
-from wardflow.sources import datasets
+from wardflow.plans.planted import PAYLOADS, document_inputs, document_sql, sample_inputs
+from wardflow.sources import datasets, files, sinks
 from wardflow.streaming import streams
 
 LEVELS = (0.85, 0.7, 0.5, 0.3)
@@ -95,17 +95,6 @@ def thread_max_risk(spark: SparkSession, sf: str) -> DataFrame:
 # ---- samples ------------------------------------------------------------------------------------
 
 _SRC = "replace(lower(trim(source)), '-', '_')"
-_NAUGHTY = Q.found("lower(coalesce(text, ''))", [p for p, _ in P.INJECTIONS])
-
-
-@query(f"SELECT label, CASE WHEN {_NAUGHTY} OR regexp_matches(coalesce(text, ''), '(?i)without limits|ignore ') THEN 1 ELSE 0 END AS prediction, count(*) AS n FROM training_samples WHERE label IS NOT NULL GROUP BY 1, 2")
-def labels_vs_decision_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/training_samples.parquet").filter("label IS NOT NULL")
-    text = F.coalesce("text", F.lit(""))
-    said = T.any_of(F.lower(text), [p for p, _ in P.INJECTIONS]) | F.rlike(text, F.lit("(?i)without limits|ignore "))
-    return L.confusion(df.withColumn("prediction", said.cast("int")))
-
-
 _RANK = "SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(sample_id::VARCHAR), sample_id::VARCHAR) AS r, count(*) OVER (PARTITION BY label) AS n FROM training_samples"
 
 
@@ -139,18 +128,21 @@ def text_features(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT {_SRC} AS source, label, split_name, count(*) AS n, count(DISTINCT text) AS n_texts, sum(length(text))::BIGINT AS n_chars FROM training_samples GROUP BY CUBE ({_SRC}, label, split_name) HAVING count(*) > 0")
 def sample_cube(spark: SparkSession, sf: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/training_samples.parquet").withColumn("source", F.regexp_replace(F.lower(F.trim("source")), "-", "_"))
-    return df.cube("source", "label", "split_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
+    # Hashes instead of texts go through the grouping sets.
+    text = F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("h")
+    df = df.select("source", "label", "split_name", text, F.length("text").alias("size"))
+    return df.cube("source", "label", "split_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("h").alias("n_texts"), F.sum("size").alias("n_chars"))
 
 
 @query()
 def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of all samples with planted payloads, a forest fitted on the train rows, and its metrics on the others."""
-    df = spark.read.parquet(f"{sf}/training_samples.parquet").filter("label IS NOT NULL")
-    key = F.when(F.col("label") == 1, 1 + F.pmod("sample_id", F.lit(len(PAYLOADS) - 1))).otherwise(F.lit(0))
-    rows = df.withColumn("k", key.cast("long")).select("sample_id", "label", "split_name", "k", F.coalesce("text", F.lit("")).alias("text"))
-    names = [(i, v, h) for i, (v, h) in enumerate(PAYLOADS)]
-    extra = spark.createDataFrame(names, "k long, pv string, ph string")  # a handful of rows
-    rows = rows.join(F.broadcast(extra), "k").select(F.col("sample_id").alias("input_id"), "label", "split_name", F.concat_ws(" ", "text", "pv").alias("visible"), F.when(F.col("ph") != "", F.array("ph")).otherwise(F.array().cast("array<string>")).alias("hidden"))
+    """Features of all labelled samples, a forest fitted on the train rows, and its metrics on the others.
+
+    A payload is planted by a hash of the id, the label having no part in it, so that the metrics say what the texts give.
+    """
+    rows = sample_inputs(spark, sf)
+    extra = F.element_at(F.array(*[F.lit(v) for v, _ in PAYLOADS]), (F.pmod(F.xxhash64("input_id"), F.lit(len(PAYLOADS))) + 1).cast("int"))
+    rows = rows.withColumn("visible", F.concat_ws(" ", "visible", extra))
     featured = L.with_features(pipeline.analyze(rows)).select("input_id", "label", "split_name", *L.FEATURES)
     featured = materialize(featured, "features")
     model = L.train(featured.filter("split_name = 'train'"), trees=20, depth=6)
@@ -158,9 +150,44 @@ def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT source, type, label, count(*) AS n FROM (SELECT 'synthetic_benign' AS source, 'benign_query' AS type, 0 AS label FROM range(500) UNION ALL SELECT 'tapir', 'instruction_following', 0 FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2, 3"""
+    """SELECT source, type, label, count(*) AS n, sum(length(txt))::BIGINT AS n_chars FROM (SELECT 'tapir' AS source, 'instruction_following' AS type, 0 AS label, text || chr(10) || coalesce(lang, '') AS txt FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT 'puffin', 'conversation', 0, text FROM documents WHERE post_kind = 'question' AND text <> ''
+ UNION ALL SELECT 'deepset_jailbreaks', 'jailbreak', CASE WHEN label = 0 THEN 0 ELSE 1 END, text FROM training_samples WHERE text <> '') GROUP BY 1, 2, 3"""
 )
 def dataset_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables written as three of the public datasets and read by their readers, found by their names in one folder."""
+    folder = scratch(spark, "datasets")
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL")
-    samples = datasets._sample(docs, F.concat_ws("\n", F.lit("instruction"), F.col("text")), 0, "tapir", "instruction_following")
-    return datasets.synthetic_benign(spark, 500).unionByName(samples).groupBy("source", "type", "label").agg(F.count(F.lit(1)).alias("n"))
+    docs.select(F.col("text").alias("instruction"), F.col("lang").alias("input")).write.parquet(f"{folder}/tapir.parquet")
+    kind = F.when(F.col("post_kind") == "question", "human").otherwise("gpt")
+    docs.select(kind.alias("Source"), F.col("text").alias("value")).write.parquet(f"{folder}/puffin.parquet")
+    spark.read.parquet(f"{sf}/training_samples.parquet").select(F.col("text").alias("prompt"), "label").write.json(f"{folder}/jailbreaks.json")
+    rows = datasets.load_raw(spark, folder)
+    return rows.groupBy("source", "type", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("SELECT type, label, source, count(*) AS n FROM (SELECT 'benign_query' AS type, 0 AS label, 'synthetic_benign' AS source FROM range(5000)) GROUP BY ALL")
+def synthetic_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return datasets.synthetic_benign(spark).groupBy("type", "label", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN split_name = 'train' THEN 'train_set' WHEN split_name = 'val' THEN 'val_set' ELSE 'test_set' END AS name, count(*) AS n, sum(sample_id)::BIGINT AS ids FROM training_samples WHERE split_name IN ('train', 'val', 'test') AND label IS NOT NULL GROUP BY 1")
+def split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Splits written as CSV files and read back."""
+    folder = scratch(spark, "splits")
+    sinks.write_splits(spark.read.parquet(f"{sf}/training_samples.parquet").filter("label IS NOT NULL").select("sample_id", "label", "text", "split_name"), folder)
+    schema = "sample_id long, label int, text string"
+    parts = [spark.read.csv(f"{folder}/{n}_set", header=True, schema=schema, multiLine=True, escape='"').withColumn("name", F.lit(f"{n}_set")) for n in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("sample_id").alias("ids"))
+
+
+@query("SELECT 'json' AS suffix, count(*) AS n_rows, sum(length(trim(text)))::BIGINT AS n_chars, 0 AS n_errors FROM documents WHERE lower(trim(text)) IS NOT NULL AND regexp_matches(text, '^\\s*\\{')")
+def file_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Record texts written as files of lines and read by the file reader; their lines are counted again."""
+    folder = scratch(spark, "loaded")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter(F.rlike("text", F.lit(r"^\s*\{")))
+    docs.select(F.to_json(F.struct(F.trim("text").alias("t"))).alias("value")).write.option("maxRecordsPerFile", 1000).text(folder, lineSep="\n")
+    loaded = files.load_files(spark, folder, "part-*")
+    lines = loaded.select("suffix", "error", F.explode(F.split("text", "\n")).alias("line"))
+    t = F.from_json("line", "t string")["t"]
+    return lines.filter("line <> ''").groupBy(F.lit("json").alias("suffix")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(t)).alias("n_chars"), F.sum(F.col("error").isNotNull().cast("int")).cast("int").alias("n_errors"))
