@@ -4,6 +4,9 @@ A piece of text is encoded exactly as its merges would, in linear time: an Aho-C
 vocabulary, its bytes mapped to Latin-1 characters, gives the longest token at each place; a walk over these
 goes back to a shorter token, or to the token before, where two neighbours aren't what merging their bytes
 gives. Which neighbours are compatible is memoised.
+
+The automaton gives the longest path from each place where a token begins; its failure links are not followed, since after
+a match the next token begins at the match's end. Places are reached once each but for those that are gone back to.
 """
 
 from __future__ import annotations

@@ -137,17 +137,17 @@ def shares(df: DataFrame, targets: DataFrame, id_col: str = "sample_id", text_co
     records = materialize(_records(df, id_col, text_col, seed), "records")
     rows = plan(records, targets)
     taken = _drawn(records, rows).groupBy("source", "label").agg(
-        F.count(F.lit(1)).alias("n_records"), F.sum("n_times").alias("n_taken"), F.max("n_times").alias("most_repeats"), F.sum(F.col("n_chars") * F.col("n_times")).alias("chars_taken")
+        F.count(F.lit(1)).alias("n_records"), F.sum("n_times").alias("n_taken"), F.max("n_times").alias("most_repeats"), F.max("n_chars").alias("longest"), F.sum(F.col("n_chars") * F.col("n_times")).alias("chars_taken")
     )
     names = "source string, label int, target_share double, max_repeats int, chars_available long, mix_chars long"
     wanted = records.sparkSession.createDataFrame([(r["source"], r["label"], r["target_share"], r["max_repeats"], r["available"], r["whole"]) for r in rows], names)
-    out = wanted.join(taken, ["source", "label"], "left").fillna(0, ["n_records", "n_taken", "most_repeats", "chars_taken"])
+    out = wanted.join(taken, ["source", "label"], "left").fillna(0, ["n_records", "n_taken", "most_repeats", "longest", "chars_taken"])
     out = materialize(out, "shares")  # a row for each target
     every = out.agg(F.sum("chars_taken")).first()[0] or 0
     out = out.withColumn("all_taken", F.lit(every))
     share = F.coalesce(F.try_divide(F.col("chars_taken").cast("double"), F.col("mix_chars")), F.lit(0.0))
     drawn = F.coalesce(F.try_divide(F.col("chars_taken").cast("double"), F.col("all_taken")), F.lit(0.0))
-    return out.select("source", "label", "target_share", "max_repeats", "n_records", "n_taken", "most_repeats", "chars_available", "chars_taken", share.alias("actual_share"), drawn.alias("share_of_drawn"))
+    return out.select("source", "label", "target_share", "max_repeats", "n_records", "n_taken", "most_repeats", "longest", "chars_available", "mix_chars", "chars_taken", share.alias("actual_share"), drawn.alias("share_of_drawn"))
 
 
 def mix(df: DataFrame, targets: DataFrame, id_col: str = "sample_id", text_col: str = "text", seed: int = 7) -> DataFrame:
