@@ -327,13 +327,34 @@ def deob_detect(spark: SparkSession, sf: str) -> DataFrame:
     return _content(spark, sf).select("input_id", *[F.size(E.runs(F.col("t_spaced"), n)).cast("long").alias(f"n_{n}") for n, _, _ in P.ENCODINGS])
 
 
-@query()
+#: UTF-8 in hexadecimal: what is no part of a sequence is dropped.
+_UTF8 = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|(?:E0[AB].|E[1-9A-CEF][89AB].|ED[89].)[89AB].|(?:F0[9AB].|F[1-3][89AB].|F48.)[89AB].[89AB]."
+_TEXT_OF = lambda h: f"decode(unhex(array_to_string(list_filter(regexp_extract_all({h}, '{_UTF8}|..'), lambda x: regexp_full_match(x, '{_UTF8}')), '')))"
+_BARE_HEX = "upper(replace(replace(run, '0x', ''), '\\x', ''))"
+_URL_ONCE = "url_decode(replace(run, '+', ' '))"
+
+
+def deob_sql(table: str) -> str:
+    """dr: the runs of each encoding (e) of ``table``; dd: those that decode, with labels. One level: no run of the tables holds another."""
+    runs = " UNION ALL ".join(f"SELECT input_id, {e} AS e, '{n}' AS encoding, unnest(l) AS run, unnest(range(1, len(l) + 1)) AS place FROM (SELECT input_id, list_filter({Q.hits('spaced', p, None, '')}, lambda m: length(m) >= 20) AS l FROM {table})" for e, (n, p, _) in enumerate(P.ENCODINGS))
+    labels = ", ".join(f"CASE WHEN regexp_matches(lower(decoded), {Q.quoted(p)}) THEN '{label}' END" for p, label in P.SUSPICIOUS_DECODED)
+    bases = " ".join(f"WHEN {e} THEN {r}" for e, (_, _, r) in enumerate(P.ENCODINGS))
+    return f"""dr AS ({runs}), du AS (SELECT *, CASE e WHEN 0 THEN {_TEXT_OF('hex(from_base64(run))')} WHEN 1 THEN CASE WHEN length({_BARE_HEX}) % 2 = 0 THEN {_TEXT_OF(_BARE_HEX)} END
+ ELSE CASE WHEN contains({_URL_ONCE}, '%') THEN url_decode(replace({_URL_ONCE}, '+', ' ')) ELSE {_URL_ONCE} END END AS decoded FROM dr),
+dd AS (SELECT *, list_filter([{labels}], lambda x: x IS NOT NULL) AS labels, CASE e {bases} END::DOUBLE AS ground FROM du WHERE decoded <> ''),
+deo0 AS (SELECT input_id, count(*) AS n, max(least(1.0, ground + CASE WHEN len(labels) > 0 THEN 0.4::DOUBLE + len(labels) * 0.1::DOUBLE ELSE 0.0 END)) AS risk, bool_or(len(labels) > 0) AS sus FROM dd WHERE place <= 5 GROUP BY 1),
+deo1 AS (SELECT input_id, count(DISTINCT e) AS kinds FROM dr GROUP BY 1),
+deo2 AS (SELECT {table}.input_id, coalesce(kinds, 0) AS kinds, coalesce(n, 0) + CASE WHEN kinds > 1 THEN 1 ELSE 0 END AS n, CASE WHEN kinds > 1 THEN least(1.0, coalesce(risk, 0.0) + 0.15::DOUBLE) ELSE coalesce(risk, 0.0) END AS score, coalesce(sus, false) AS sus FROM {table} LEFT JOIN deo1 USING (input_id) LEFT JOIN deo0 USING (input_id)),
+deo_r AS (SELECT input_id, n, score, sus, {Q.ladder('score', 0.8, 0.6, 0.4, 0.2)} AS level, CASE WHEN kinds = 0 THEN 0.9 ELSE least(0.95, 0.75::DOUBLE + n * 0.05::DOUBLE) END::DOUBLE AS conf FROM deo2)"""
+
+
+@query(f"{CONTENT}, {deob_sql('t')} SELECT input_id, (row_number() OVER (PARTITION BY input_id ORDER BY e, place) - 1)::INTEGER AS i, encoding, 0 AS depth, decoded, array_to_string(labels, ',') AS labels FROM dd")
 def deob_decode(spark: SparkSession, sf: str) -> DataFrame:
     df = E.with_decoded(_content(spark, sf)).select("input_id", F.posexplode("decoded").alias("i", "d"))
     return df.select("input_id", "i", "d.encoding", "d.depth", "d.decoded", F.array_join(E.suspicious_labels(F.col("d.decoded")), ",").alias("labels"))
 
 
-@query()
+@query(f"{CONTENT}, {deob_sql('t')} SELECT input_id, round(score, 6) AS risk_score, level AS risk_level, round(conf, 6) AS confidence, n::INTEGER AS n_findings FROM deo_r")
 def deob_result(spark: SparkSession, sf: str) -> DataFrame:
     m = F.col("content_deobfuscator")
     return E.analyze_encoded(E.with_decoded(_content(spark, sf))).select("input_id", r6(m["risk_score"]).alias("risk_score"), m["risk_level"].alias("risk_level"), r6(m["confidence"]).alias("confidence"), F.size(m["findings"]).alias("n_findings"))

@@ -100,6 +100,16 @@ def sample_sql() -> str:
 {_TEXTS}"""
 
 
+def chain_sql(decoded: str) -> str:
+    """CTEs up to t as of ``content_sql``, with decoded content as one more hidden element; ``decoded``: CTEs up to dd(input_id, e, place, decoded) over t0."""
+    before = _TEXTS.replace("texts AS", "texts0 AS").replace("FROM inputs)", "FROM inputs0)").replace("t AS (", "t0 AS (", 1).replace("FROM texts)", "FROM texts0)")
+    return f"""{content_sql().split(", inputs AS" if ", inputs AS" in content_sql() else ",\ninputs AS")[0]},
+inputs0 AS {content_sql().split("inputs AS ", 1)[1].split("texts AS")[0].rstrip().rstrip(",")},
+{before}, {decoded},
+inputs AS (SELECT i.* REPLACE (CASE WHEN d.txt <> '' THEN list_append(i.hidden, '[DECODED_CONTENT]: ' || d.txt) ELSE i.hidden END AS hidden) FROM inputs0 i LEFT JOIN (SELECT input_id, string_agg(decoded, chr(10) ORDER BY e, place) AS txt FROM dd GROUP BY input_id) d USING (input_id)),
+{_TEXTS}"""
+
+
 def document_sql() -> str:
     return f"""WITH {_PAYLOADS}, {_PROMPTS},
 inputs AS (SELECT doc_id AS input_id, coalesce(text, '') || ' ' || pv AS visible, CASE WHEN ph = '' THEN CAST([] AS VARCHAR[]) ELSE [ph] END AS hidden, system_prompt

@@ -18,7 +18,7 @@ from wardflow.plans import detector_queries as Q0
 from wardflow.plans import pipeline
 from wardflow.plans import sql as Q
 from wardflow.plans.catalog import query
-from wardflow.plans.planted import content_inputs, content_sql, document_inputs, document_sql, sample_inputs, sample_sql
+from wardflow.plans.planted import chain_sql, content_inputs, content_sql, document_inputs, document_sql, sample_inputs, sample_sql
 from wardflow.sources import sinks
 
 r6 = Q0.r6
@@ -51,14 +51,24 @@ POLICY_SQL = f"{content_sql()}, {_SIX}, {_EFFECTIVE}"
 _CAL = "CASE int_r.intent " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in POL.CALIBRATED.items()) + " ELSE 0.15 END"
 _SERIOUS = "IN ('medium', 'high', 'critical')"
 _RISING = lambda block, approve: f"CASE WHEN risk >= {block} THEN 'block' WHEN risk >= {approve} AND aligned THEN 'require_approval' ELSE 'sanitize' END"
-MULTI_SQL = f"""{content_sql()}, {_SIX},
-m0 AS (SELECT input_id, int_r.intent, greatest(({_SUM}) / ({' + '.join(f'{_W[m]}::DOUBLE' for _, m in _MODULES)}), least(0.1, {_CAL}))::DOUBLE AS base, hou_r.score AS hs, hou_r.level AS hl, agt_r.score AS gs, agt_r.level AS gl, agt_r.bypass, rc > 0 AS by_permission, n9 > 0 AS leak, nr > 0 AS retask,
+def _mean(decoded: bool) -> str:
+    """The weighted mean of the modules; the semantic one, which has no vectors, counts with its weight alone."""
+    weights = [_W[m] for _, m in _MODULES] + ([_W["semantic_threat_detector"], _W["content_deobfuscator"]] if decoded else [])
+    more = f" + ({_EFF('deo_r')}) * deo_r.conf * {_W['content_deobfuscator']}::DOUBLE" if decoded else ""
+    return f"({_SUM}{more}) / ({' + '.join(f'{w}::DOUBLE' for w in weights)})"
+
+
+def _multi(decoded: bool) -> str:
+    """CTEs up to m5: the multi-signal policy; with ``decoded`` of the whole chain (deo_r and c2 must be there), else of six modules."""
+    medium, high = (f"(deo_r.sus AND deo_r.level {_SERIOUS})", "(deo_r.sus AND deo_r.level IN ('high', 'critical'))") if decoded else ("false", "false")
+    adjust, more = ("c2.adjust", " JOIN deo_r USING (input_id) JOIN c2 USING (input_id)") if decoded else ("0.0", "")
+    return f"""m0 AS (SELECT input_id, int_r.intent, greatest({_mean(decoded)}, least(0.1, {_CAL}), CASE WHEN {medium} THEN 0.2 ELSE 0.0 END)::DOUBLE AS base, {high} AS threat, {adjust} AS adjust, hou_r.score AS hs, hou_r.level AS hl, agt_r.score AS gs, agt_r.level AS gl, agt_r.bypass, rc > 0 AS by_permission, n9 > 0 AS leak, nr > 0 AS retask,
  f > 0 OR ns > 0 AS seps, n7 + n9 + n6 > 0 AS disrupts, ra > 0 OR rb >= 0.7 OR rc > 0 OR rd > 0 AS strong, exf_r.level IN ('high', 'critical') AS exfil, inj_r.level IN ('high', 'critical') AS inject,
- (CASE WHEN hid_r.level {_SERIOUS} AND kw + ob + sc > 0 THEN 1 ELSE 0 END + CASE WHEN inj_r.level {_SERIOUS} AND inj_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN agt_r.level {_SERIOUS} AND agt_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN hou_r.level {_SERIOUS} AND hou_r.score > 0.5 THEN 1 ELSE 0 END) >= 2 AS aligned
- FROM {_JOIN} JOIN hid USING (input_id) JOIN ag USING (input_id) JOIN ho USING (input_id)),
+ (CASE WHEN hid_r.level {_SERIOUS} AND kw + ob + sc > 0 THEN 1 ELSE 0 END + CASE WHEN inj_r.level {_SERIOUS} AND inj_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN agt_r.level {_SERIOUS} AND agt_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN hou_r.level {_SERIOUS} AND hou_r.score > 0.5 THEN 1 ELSE 0 END + CASE WHEN {medium} THEN 1 ELSE 0 END) >= 2 AS aligned
+ FROM {_JOIN} JOIN hid USING (input_id) JOIN ag USING (input_id) JOIN ho USING (input_id){more}),
 m1 AS (SELECT *, CASE WHEN leak THEN least(1.0, greatest(base, hs) + 0.2::DOUBLE) ELSE greatest(base, hs) END AS b1 FROM m0),
 m2 AS (SELECT *, CASE WHEN hl = 'safe' THEN base WHEN seps AND disrupts THEN CASE WHEN retask THEN least(1.0, b1 + 0.15::DOUBLE) ELSE b1 END ELSE greatest(base, hs * 0.6::DOUBLE) END AS b2 FROM m1),
-m3 AS (SELECT *, greatest(CASE WHEN intent = 'malicious' THEN 0.9 ELSE 0.0 END, least(1.0, greatest(b2, CASE WHEN gl {_SERIOUS} AND strong THEN 0.5 ELSE 0.0 END, CASE WHEN intent NOT IN ('descriptive', 'ambiguous') THEN 0.2 ELSE 0.0 END))) AS risk FROM m2),
+m3 AS (SELECT *, greatest(CASE WHEN intent = 'malicious' THEN 0.9 ELSE 0.0 END, least(1.0, adjust + greatest(b2, CASE WHEN threat THEN 0.6 ELSE 0.0 END, CASE WHEN gl {_SERIOUS} AND strong THEN 0.5 ELSE 0.0 END, CASE WHEN intent NOT IN ('descriptive', 'ambiguous') THEN 0.2 ELSE 0.0 END))) AS risk FROM m2),
 m4 AS (SELECT *, {Q.ladder('risk', 0.8, 0.6, 0.4, 0.15)} AS level, CASE WHEN intent = 'malicious' THEN 'block' WHEN hl IN ('high', 'critical') AND (leak OR (seps AND disrupts AND hs >= 0.75)) THEN 'block' WHEN hl IN ('high', 'critical') AND seps AND disrupts THEN 'require_approval'
  WHEN intent = 'conditional_instructional' THEN {_RISING(0.8, 0.6)} WHEN intent = 'instructional' THEN {_RISING(0.8, 0.55)} WHEN intent = 'ambiguous' THEN {_RISING(0.75, 0.55)}
  WHEN gl {_SERIOUS} THEN CASE WHEN bypass OR risk >= 0.75 THEN 'block' WHEN risk >= 0.5 THEN 'require_approval' ELSE 'sanitize' END WHEN risk >= 0.75 THEN 'block' WHEN risk >= 0.4 AND aligned THEN 'require_approval'
@@ -66,6 +76,10 @@ m4 AS (SELECT *, {Q.ladder('risk', 0.8, 0.6, 0.4, 0.15)} AS level, CASE WHEN int
 m5 AS (SELECT *, CASE WHEN intent IN ('malicious', 'conditional_instructional') THEN 1 WHEN intent = 'instructional' THEN 2 WHEN intent = 'ambiguous' THEN 3 WHEN bypass THEN 4 WHEN level = 'critical' THEN 5 WHEN gl {_SERIOUS} THEN 6 WHEN level = 'high' THEN 7 WHEN level = 'medium' THEN 8 ELSE 9 END AS c FROM m4)"""
 
 
+MULTI_SQL = f"{content_sql()}, {_SIX}, {_multi(False)}"
+
+
+
 @query(f"{POLICY_SQL} SELECT input_id, round(weighted, 6) AS weighted_risk, round(floor, 6) AS intent_floor FROM pol0")
 def policy_weighted_risk(spark: SparkSession, sf: str) -> DataFrame:
     df = _six(spark, sf)
@@ -120,9 +134,12 @@ def policy_sanitize(spark: SparkSession, sf: str) -> DataFrame:
 
 _TOK = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), {Q.quoted(chr(91) + 'a-zA-Z0-9' + chr(39) + chr(93) + '+')}), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(repr(w) for w in P.STOPWORDS)}], w)))"
 _BOUNDS = "list_concat(" + ", ".join(f"regexp_extract_all(lower(system_prompt), {Q.quoted(p)}, 1)" for p in P.BOUNDARIES) + ")"
-_CTX = f"""{content_sql()}, c0 AS (SELECT input_id, system_prompt, substr(visible, 1, 50000) AS v, {_TOK('system_prompt')} AS p, {_TOK('substr(visible, 1, 50000)')} AS w,
+_CONTEXT = f"""c0 AS (SELECT input_id, system_prompt, substr(visible, 1, 50000) AS v, {_TOK('system_prompt')} AS p, {_TOK('substr(visible, 1, 50000)')} AS w,
  list_filter(list_transform({_BOUNDS}, lambda b: rtrim(regexp_replace(trim(b), '[.,;:]+$', ''))), lambda b: len(regexp_extract_all(b, '\\S+')) BETWEEN 3 AND 12) AS bs FROM t),
 c1 AS (SELECT *, CASE WHEN len(p) > 0 AND len(w) > 0 THEN len(list_intersect(p, w))::DOUBLE / len(list_distinct(list_concat(p, w))) ELSE 0.0 END AS al, CASE WHEN {Q.found('lower(v)', P.OVERRIDE_SIGNALS, '')} THEN len(list_filter(bs, lambda b: list_has_any({_TOK('b')}, w))) ELSE 0 END AS nb FROM c0)"""
+_ADJUST = "CASE WHEN trim(system_prompt) = '' THEN 0.0 WHEN nb > 0 THEN least(0.25, 0.12 * nb) WHEN al >= 0.08 THEN -least(0.15, al * 0.3) ELSE 0.0 END::DOUBLE"
+_CTX = f"{content_sql()}, {_CONTEXT}"
+_WHOLE = f"{chain_sql(Q0.deob_sql('t0'))}, {_SIX}, {_CONTEXT}, c2 AS (SELECT input_id, {_ADJUST} AS adjust FROM c1)"
 
 
 @query(f"{_CTX} SELECT input_id, round(CASE WHEN trim(system_prompt) = '' THEN 0.0 ELSE al END, 6) AS topic_alignment, (CASE WHEN trim(system_prompt) = '' THEN 0 ELSE nb END)::BIGINT AS n_violations, round(CASE WHEN trim(system_prompt) = '' THEN 0.0 WHEN nb > 0 THEN least(0.25, 0.12 * nb) WHEN al >= 0.08 THEN -least(0.15, al * 0.3) ELSE 0.0 END::DOUBLE, 6) AS risk_adjustment FROM c1")
@@ -188,18 +205,33 @@ def guard_clear(spark: SparkSession, sf: str) -> DataFrame:
 # ---- whole assessments --------------------------------------------------------------------------
 
 
-@query()
+_WHOLE_EFFECTIVE = f"""w0 AS (SELECT input_id, int_r.intent, greatest(least(1.0, greatest({_mean(True)}, {_FLOOR})), CASE WHEN hid.sc > 0 THEN 0.9 ELSE 0.0 END, CASE WHEN deo_r.sus AND deo_r.level IN ('high', 'critical') THEN 0.75 ELSE 0.0 END, CASE WHEN agt_r.bypass THEN 0.85 ELSE 0.0 END) AS base,
+ c2.adjust, (CASE WHEN hid_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN inj_r.score > 0.4 THEN 1 ELSE 0 END + CASE WHEN deo_r.score > 0.4 THEN 1 ELSE 0 END) AS signals, CASE WHEN agt_r.level {_SERIOUS} THEN ag.actions ELSE [] END AS actions FROM {_JOIN} JOIN hid USING (input_id) JOIN ag USING (input_id) JOIN deo_r USING (input_id) JOIN c2 USING (input_id)),
+w1 AS (SELECT *, greatest(CASE WHEN intent = 'malicious' THEN 0.9 ELSE 0.0 END, least(1.0, base + adjust)) AS risk FROM w0),
+w2 AS (SELECT *, {Q.ladder('risk', 0.8, 0.6, 0.4, 0.15)} AS level, CASE WHEN intent = 'malicious' OR risk >= 0.75 THEN 'block' WHEN risk >= 0.4 AND signals >= 2 THEN 'require_approval' WHEN risk >= 0.2 THEN 'sanitize' WHEN intent = 'descriptive' AND risk < 0.15 THEN 'allow' ELSE 'sanitize' END AS decision FROM w1)"""
+
+
+@query(f"{_WHOLE}, {_WHOLE_EFFECTIVE} SELECT input_id, intent AS primary_intent, round(risk, 6) AS risk_score, level AS overall_risk, decision, CASE level WHEN 'critical' THEN 'ACTION_DISABLED' WHEN 'high' THEN 'APPROVAL_REQUIRED' WHEN 'medium' THEN 'READ_ONLY' ELSE 'NORMAL' END AS mode, array_to_string(actions, ',') AS actions FROM w2")
 def assess_effective(spark: SparkSession, sf: str) -> DataFrame:
     df = pipeline.assess(content_inputs(spark, sf))
-    return df.select("input_id", "primary_intent", r6(F.col("risk_score")).alias("risk_score"), "overall_risk", "decision", "restrictions.mode", F.array_join("requested_actions", ",").alias("actions"), "sanitized_content", "reasoning")
+    return df.select("input_id", "primary_intent", r6(F.col("risk_score")).alias("risk_score"), "overall_risk", "decision", "restrictions.mode", F.array_join("requested_actions", ",").alias("actions"))
 
 
-@query()
+@query(
+    f"""{_WHOLE}, {_multi(True)} SELECT input_id, intent AS primary_intent, round(risk, 6) AS risk_score, level AS overall_risk, decision, CASE c WHEN 1 THEN 'ACTION_DISABLED' WHEN 2 THEN 'APPROVAL_REQUIRED' WHEN 3 THEN 'READ_ONLY' WHEN 4 THEN 'ACTION_DISABLED' WHEN 5 THEN 'ACTION_DISABLED' WHEN 6 THEN 'APPROVAL_REQUIRED' WHEN 7 THEN 'RESTRICTED' WHEN 8 THEN 'READ_ONLY' ELSE 'NORMAL' END AS mode,
+ CASE c WHEN 1 THEN 'Content classified as ' || intent WHEN 2 THEN 'Instructional content requires approval' WHEN 4 THEN 'Permission bypass or link action detected' WHEN 6 THEN 'Agentic action request requires human approval' END AS approval_reason FROM m5"""
+)
 def assess_multi_signal(spark: SparkSession, sf: str) -> DataFrame:
     df = pipeline.assess(content_inputs(spark, sf), "multi_signal")
     return df.select("input_id", "primary_intent", r6(F.col("risk_score")).alias("risk_score"), "overall_risk", "decision", "restrictions.mode", "restrictions.approval_reason")
 
 
+@query()
+def assess_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a caller reads: sanitised text and reasoning."""
+    return pipeline.assess(content_inputs(spark, sf)).select("input_id", "decision", "sanitized_content", "reasoning")
+
+
 @query()
 def assess_findings(spark: SparkSession, sf: str) -> DataFrame:
     df = pipeline.analyze(content_inputs(spark, sf))
