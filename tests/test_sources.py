@@ -4,6 +4,7 @@ import json
 import zipfile
 from uuid import uuid4
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardflow.functions.config import Config
@@ -198,3 +199,69 @@ def test_locations(spark):
 def test_metadata_as_json(spark):
     df = spark.createDataFrame([('{"comment_count": 2}',), ("broken",), (None,)], "m string").select(learn.metadata_map(F.col("m")).alias("m"))
     assert [r[0] for r in df.select(learn.metadata_features(F.col("m"))["hidden_text_ratio"]).collect()] == [0.5, 0.0, 0.0]
+
+
+def test_unreadable_files_are_never_assessed(spark, tmp_path):
+    from wardflow import __main__ as cli
+    from wardflow.functions.config import Config
+
+    (tmp_path / "a.zip").write_bytes(b"PK\x03\x04")
+    (tmp_path / "empty.txt").write_text(" ")
+    (tmp_path / "fine.txt").write_text("A table of products.")
+    paths = [str(tmp_path / n) for n in ("a.zip", "empty.txt", "fine.txt")]
+    events = str(tmp_path / "events")
+    report, errors = cli.assess(spark, [*paths, "some text"], "effective", Config(), None, events)
+    assert sorted(e.rsplit("/", 1)[1].split(":")[0] for e in errors) == ["a.zip", "empty.txt"]
+    assert "a.zip" not in report and "fine.txt" in report and "some text" in report
+    assert spark.read.json(events).count() == 2
+
+
+def test_prompts_from_file_and_environment(tmp_path, monkeypatch):
+    from wardflow.sources import files
+
+    missing, there = str(tmp_path / "none.txt"), tmp_path / "p.txt"
+    there.write_text(" from file \n")
+    monkeypatch.setenv("WARDFLOW_AGENT_SYSTEM_PROMPT", "from environment")
+    assert files.find_prompt("given", str(there)) == "given"
+    assert files.find_prompt(None, str(there)) == "from file"
+    assert files.find_prompt(None, missing) == "from environment"
+    monkeypatch.delenv("WARDFLOW_AGENT_SYSTEM_PROMPT")
+    assert files.find_prompt(None, missing) is None
+    assert len(files.find_prompt("x" * 30_000)) == 20_000
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from wardflow.functions import runtime
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(ValueError):
+        runtime.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    shared = SimpleNamespace(get=lambda k, d=None: "hdfs:///shared/")
+    assert runtime.shared_dir(SimpleNamespace(conf=shared, sparkContext=SimpleNamespace(master="yarn"))) == "hdfs:///shared"
+
+
+def test_deep_pages_are_read_in_linear_time():
+    import time
+
+    from wardflow.operators import html
+
+    began = time.perf_counter()
+    page = html.read_html("<div>a" * 100_000 + "</div>" * 100_000)
+    assert time.perf_counter() - began < 20 and page["visible"].startswith("a a a")
+    hidden = html.read_html("<div style='display:none'>" + "<b>xy</b>" * 200 + "</div>")["hidden"]
+    assert [h["location"]["text_preview"] for h in hidden if h["location"]["channel"] == "css_hidden"] == ["xy" * 50]
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boosting"])
+def test_train_pipeline(spark, tmp_path, kind):
+    from wardflow.operators import learn
+    from wardflow.plans import pipeline
+    from wardflow.sources import datasets
+
+    rows = datasets.synthetic_attacks(spark, 400).unionByName(datasets.synthetic_benign(spark, 400)).withColumn("text", F.concat_ws(" ", "text", F.monotonically_increasing_id().cast("string")))
+    model, about = learn.train_pipeline(rows, pipeline.sample_features, str(tmp_path / "m"), kind, trees=5, depth=3)
+    assert min(about["val_f1"], about["test_f1"], about["test_auc"]) > 0.75 and about["train_samples"] > 500
+    assert learn.load(str(tmp_path / "m")).stages[-1].numTrees if kind == "random_forest" else True
+    assert json.loads(spark.read.text(str(tmp_path / "m/metadata")).first()[0])["kind"] == kind

@@ -45,7 +45,8 @@ def _of(items: Iterable[tuple]) -> frozenset[str] | None:
             parts = [_of(x) for x in value[1]]
             inner = frozenset().union(*parts) if all(parts) else None
         elif op in (_C.MAX_REPEAT, _C.MIN_REPEAT) and value[0] >= 1:
-            inner = _of(value[2])
+            alone = len(value[2]) == 1 and value[2][0][0] is _C.LITERAL
+            inner = frozenset([chr(value[2][0][1]) * value[0]]) if alone else _of(value[2])
         best = _better(best, inner)
     return _better(best, frozenset([run])) if run else best
 

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIR: str | None = None
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -31,11 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors cost no recomputation.
 
-    The table is parquet, so later reads prune columns and carry size statistics for join planning.
+    The table is parquet, so later reads prune columns and carry size statistics for join planning. Shuffle files of the job are
+    deleted with its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wardflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

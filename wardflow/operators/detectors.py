@@ -25,27 +25,26 @@ def _contains(m: Column, *words: str) -> Column:
 # ---- intent -------------------------------------------------------------------------------------
 
 
-def _imperative(m: Column, strong, middle, weak) -> Column:
-    low = F.lower(m)
-    return F.when(_contains(low, "ignore", "disregard", "forget"), strong).when(_contains(low, "must", "shall", "need to"), middle).otherwise(weak)
+def _one_of(words: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(lower(m), '{w}')" for w in words)
 
 
-def _outcome(m: Column, strong, weak) -> Column:
-    return F.when(_contains(F.lower(m), "without", "silently"), strong).otherwise(weak)
-
+_COMMANDS, _DUTIES, _SECRETLY = ("ignore", "disregard", "forget"), ("must", "shall", "need to"), ("without", "silently")
+_IMPERATIVE = lambda strong, middle, weak: f"CASE WHEN {_one_of(_COMMANDS)} THEN {strong} WHEN {_one_of(_DUTIES)} THEN {middle} ELSE {weak} END"
+_OUTCOME = lambda strong, weak: f"CASE WHEN {_one_of(_SECRETLY)} THEN {strong} ELSE {weak} END"
 
 INTENT_FAMILIES = {
     "conditional_ai": Family("conditional_ai_context", "intent_classifier", plain(P.CONDITIONAL_AI, 0.9), "critical", 3, shown=80),
-    "imperative": Family("imperative_instruction", "intent_classifier", plain(P.IMPERATIVES), lambda _, m: _imperative(m, "critical", "high", "medium"), 3, scored=lambda m: _imperative(m, 0.85, 0.7, 0.5), shown=80),
+    "imperative": Family("imperative_instruction", "intent_classifier", plain(P.IMPERATIVES), most=3, scored=_IMPERATIVE("0.85D", "0.7D", "0.5D"), graded=_IMPERATIVE("'critical'", "'high'", "'medium'"), shown=80),
     "capability": Family("capability_reference", "intent_classifier", plain(P.CAPABILITIES, 0.6), "medium", 3, shown=80),
-    "outcome": Family("outcome_oriented", "intent_classifier", plain(P.OUTCOMES), lambda _, m: _outcome(m, "high", "medium"), 3, scored=lambda m: _outcome(m, 0.75, 0.55), shown=80),
+    "outcome": Family("outcome_oriented", "intent_classifier", plain(P.OUTCOMES), most=3, scored=_OUTCOME("0.75D", "0.55D"), graded=_OUTCOME("'high'", "'medium'"), shown=80),
     "link_action": Family("link_action", "intent_classifier", plain(P.INTENT_LINKS, 0.9), "critical", 3, shown=80),
 }
 
 
 def intent_signals(df: DataFrame) -> DataFrame:
     """Adds ``signals``: the findings of each family and how many descriptive markers stand in the text."""
-    parts = {k: f.find(F.col("t_spaced") if k == "link_action" else F.col("t_spaced_lower"), None, F.col("t_spaced_lower")) for k, f in INTENT_FAMILIES.items()}
+    parts = {k: f.find("t_spaced" if k == "link_action" else "t_spaced_lower", None, "t_spaced_lower") for k, f in INTENT_FAMILIES.items()}
     markers = sum((T.any_of(F.col("t_spaced_lower"), [p], low=F.col("t_spaced_lower")).cast("int") for p in P.DESCRIPTIVE), F.lit(0))
     df = df.withColumn("signals", F.struct(*[v.alias(k) for k, v in parts.items()], markers.alias("descriptive")))
     s = F.col("signals")
@@ -138,8 +137,8 @@ OBFUSCATIONS = Family("obfuscation", "obfuscation_detector", plain(P.OBFUSCATION
 SCRIPTS = Family("dangerous_script", "script_analyzer", plain(P.DANGEROUS_SCRIPTS, 0.9), "critical")
 
 
-def hidden_findings(hidden: Column, visible: Column, strength: Column) -> Column:
-    """All findings of hidden elements, benign ones too: keywords by element, obfuscation, size, scripts."""
+def hidden_findings(strength: Column, hidden: str = "hidden", visible: str = "visible") -> Column:
+    """All findings of the columns' hidden elements, benign ones too: keywords by element, obfuscation, size, scripts."""
     risk = F.when(strength == "weak", 0.4).when(strength == "medium", 0.65).otherwise(0.85)
     words = F.array(*[F.lit(w) for w in P.HIDDEN_KEYWORDS])
 
@@ -147,15 +146,10 @@ def hidden_findings(hidden: Column, visible: Column, strength: Column) -> Column
         low = F.lower(h)
         return F.transform(F.filter(words, lambda w: F.contains(low, w)), lambda w: R.finding("instruction_keyword", "keyword_detector", F.when(risk > 0.7, "high").otherwise("medium"), risk, None, w, None, "hidden"))
 
-    size = F.aggregate(hidden, F.lit(0), lambda n, h: n + F.length(h))
+    size = F.expr(f"aggregate({hidden}, 0, (n, h) -> n + length(h))")
     anomaly = F.when((F.length(visible) > 0) & (size > F.length(visible) * 5), F.array(R.finding("size_anomaly", "size_anomaly_detector", "low", 0.25))).otherwise(R.none())
-    scripts = F.filter(hidden, lambda h: F.contains(F.lower(h), F.lit("<script")))
-    return F.concat(
-        F.flatten(F.transform(hidden, by_keyword)),
-        F.flatten(F.transform(hidden, lambda h: OBFUSCATIONS.find(h, "hidden", F.lower(h)))),
-        anomaly,
-        F.flatten(F.transform(scripts, lambda h: SCRIPTS.find(h, "script", F.lower(h)))),
-    )
+    scripts = f"filter({hidden}, h -> contains(lower(h), '<script'))"
+    return F.concat(F.flatten(F.transform(hidden, by_keyword)), OBFUSCATIONS.find_each(hidden, "lower(x)", "hidden"), anomaly, SCRIPTS.find_each(scripts, "lower(x)", "script"))
 
 
 def _is_threat(f: Column) -> Column:
@@ -168,7 +162,7 @@ def _is_threat(f: Column) -> Column:
 def analyze_hidden(df: DataFrame, strength: Column | None = None) -> DataFrame:
     """Adds ``hidden_content_analyzer``: the mean risk of the threats in hidden elements."""
     strength = F.lit(None).cast("string") if strength is None else strength
-    df = df.withColumn("hidden_all", hidden_findings(F.col("hidden"), F.col("visible"), strength))
+    df = df.withColumn("hidden_all", hidden_findings(strength))
     df = df.withColumn("threats", F.filter("hidden_all", _is_threat))
     n = F.size("threats")
     mean = F.aggregate("threats", F.lit(0.0), lambda a, f: a + f["risk_score"]) / n
@@ -181,7 +175,7 @@ def analyze_hidden(df: DataFrame, strength: Column | None = None) -> DataFrame:
 
 # ---- prompt injection ---------------------------------------------------------------------------
 
-INJECTION = Family("injection_pattern", "pattern_matcher", tuple((p, s, None) for p, s in P.INJECTIONS), lambda s, _: "critical" if s >= 0.9 else "high")
+INJECTION = Family("injection_pattern", "pattern_matcher", tuple((p, s, None) for p, s in P.INJECTIONS), lambda s: "critical" if s >= 0.9 else "high")
 SWITCH = Family("context_switch", "context_switch_detector", plain(P.CONTEXT_SWITCHES, 0.85), "high")
 ROLE = Family("role_manipulation", "role_detector", literal(P.ROLES, 0.8), "high")
 QUOTE = Family("structural_attack", "structure_detector", tuple((p, 0.7, label) for p, label in P.QUOTES), "medium", flags="(?is)", shown=50)
@@ -200,10 +194,9 @@ def injection_parts(df: DataFrame) -> DataFrame:
     def each(family: Family) -> Column:
         return F.concat(F.expr(family.sql("chunks_low.v", "chunks_low.v", "visible")), family.find_each("chunks_low.h", "x", "hidden"))
 
-    all_low = F.col("t_chunks_lower")
-    repeated = T.count_of(all_low, [REPETITION])
+    repeated = T.count_of(F.col("t_chunks_lower"), [REPETITION])
     repetition = F.when(repeated >= 3, F.array(R.finding("repetition_attack", "repetition_detector", "medium", 0.65, None, None, repeated.cast("string")))).otherwise(R.none())
-    parts = {"patterns": each(INJECTION), "switches": SWITCH.find(F.col("t_chunks"), None, all_low), "roles": each(ROLE), "structure": F.concat(QUOTE.find(F.col("t_chunks"), None, all_low), repetition)}
+    parts = {"patterns": each(INJECTION), "switches": SWITCH.find("t_chunks", None, "t_chunks_lower"), "roles": each(ROLE), "structure": F.concat(QUOTE.find("t_chunks", None, "t_chunks_lower"), repetition)}
     return df.withColumn("inj", F.struct(*[c.alias(k) for k, c in parts.items()]))
 
 
@@ -261,7 +254,7 @@ def url_findings(found: Column) -> Column:
 def exfiltration_parts(df: DataFrame) -> DataFrame:
     """Adds ``exf``. Addresses in hidden text count twice, as they stand in the joined text and are added again."""
     twice = T.bounded(F.concat(F.col("t_glued"), F.array_join("hidden", " ")))
-    low = F.col("t_glued_lower")
+    low = "t_glued_lower"
     parts = {"sending": SENDING.find(low), "collecting": COLLECTING.find(low), "calling": CALLING.find(low), "addresses": url_findings(urls(twice))}
     return df.withColumn("exf", F.struct(*[c.alias(k) for k, c in parts.items()]))
 
@@ -281,8 +274,8 @@ def detect_exfiltration(df: DataFrame) -> DataFrame:
 
 # ---- agentic intent -----------------------------------------------------------------------------
 
-ACTION = Family("action_request", "agentic_intent_detector", tuple((p, s, a) for p, a, s in P.ACTIONS), lambda s, _: "critical" if s >= 0.85 else "high", 2)
-AUTONOMOUS = Family("autonomy_request", "agentic_intent_detector", tuple((p, s, None) for p, s in P.AUTONOMY), lambda s, _: "high" if s >= 0.7 else "medium", 2)
+ACTION = Family("action_request", "agentic_intent_detector", tuple((p, s, a) for p, a, s in P.ACTIONS), lambda s: "critical" if s >= 0.85 else "high", 2)
+AUTONOMOUS = Family("autonomy_request", "agentic_intent_detector", tuple((p, s, None) for p, s in P.AUTONOMY), lambda s: "high" if s >= 0.7 else "medium", 2)
 BYPASS = Family("permission_bypass", "agentic_intent_detector", tuple((p, s, None) for p, s in P.BYPASSES), "critical", 2)
 AGENT_LINK = Family("link_action", "agentic_intent_detector", tuple((p, s, None) for p, s in P.AGENT_LINKS), "critical", 2)
 
@@ -297,7 +290,7 @@ def agentic_risk(p: Column) -> Column:
 
 
 def agentic_parts(df: DataFrame) -> DataFrame:
-    low = F.col("t_spaced_lower")
+    low = "t_spaced_lower"
     parts = {"actions": ACTION.find(low), "autonomy": AUTONOMOUS.find(low), "bypass": BYPASS.find(low), "links": AGENT_LINK.find(low)}
     return df.withColumn("agt", F.struct(*[c.alias(k) for k, c in parts.items()]))
 
@@ -346,9 +339,8 @@ def language_switch(text: Column) -> Column:
     return F.when(foreign, F.slice(F.array_compact(F.array(*rows)), 1, 1)).otherwise(R.none())
 
 
-def topic_drift(text: Column) -> Column:
-    """1 less the share of the first half's topic words that the last quarter has too; 0 if one has none or there are under 4 sentences."""
-    parts = split_sentences(text)
+def topic_drift(parts: Column) -> Column:
+    """1 less the share of the first half's topic words that the last quarter has too, of sentences; 0 if one has none or there are under 4."""
     n = F.size(parts)
     first = F.lower(F.array_join(F.slice(parts, F.lit(1), F.floor(n / 2).cast("int")), " "))
     skip = F.floor(n * 3 / 4).cast("int")
@@ -362,15 +354,16 @@ def topic_drift(text: Column) -> Column:
 def hijack_parts(df: DataFrame) -> DataFrame:
     """Adds ``hou``: findings of each component and the drift (0 unless it is above 0.6 and there is a separator)."""
     text, low = F.col("t_lines"), F.col("t_lines_lower")
-    parts = split_sentences(text)
+    df = df.withColumn("hou_parts", split_sentences(text))
+    parts = F.col("hou_parts")
     half = F.array_join(F.slice(parts, F.lit(1), F.floor(F.size(parts) / 2).cast("int")), " ")
     framework = F.when((F.size(parts) >= 3) & T.any_of(half, P.FRAMEWORK, low=low), F.array(R.finding("framework_component", "houyi_pattern_detector", "low", None))).otherwise(R.none())
-    separators = F.concat(SEPARATOR.find(text, None, low), CLOSURE.find(text, None, low), language_switch(text))
-    disruptors = F.concat(REDEFINING.find(text, None, low), LEAKING.find(text, None, low), SHAPING.find(text, None, low))
+    separators = F.concat(SEPARATOR.find("t_lines", None, "t_lines_lower"), CLOSURE.find("t_lines", None, "t_lines_lower"), language_switch(text))
+    disruptors = F.concat(*[f.find("t_lines", None, "t_lines_lower") for f in (REDEFINING, LEAKING, SHAPING)])
     df = df.withColumn("hou", F.struct(framework.alias("framework"), separators.alias("separators"), disruptors.alias("disruptors")))
     some = F.size("hou.separators") > 0
-    drift = F.when(some, topic_drift(text)).otherwise(0.0)
-    retasking = F.when(some, RETASK.find(text, None, low)).otherwise(R.none())
+    drift = F.when(some, topic_drift(parts)).otherwise(0.0)
+    retasking = F.when(some, RETASK.find("t_lines", None, "t_lines_lower")).otherwise(R.none())
     return df.withColumn("hou_more", F.struct(drift.alias("drift"), retasking.alias("retasking")))
 
 
@@ -424,7 +417,7 @@ def can_recognise(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1)).isin(*OCR_SUFFIXES)
 
 
-def analyze_ocr(df: DataFrame, text_col: str = "ocr_text") -> DataFrame:
+def analyze_ocr(df: DataFrame, text_col: str = "ocr_text", baseline: float = OCR_BASELINE) -> DataFrame:
     """Adds ``ocr_content_analyzer`` for text recognised in an image; low with the baseline risk where there is none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(text)
@@ -437,9 +430,9 @@ def analyze_ocr(df: DataFrame, text_col: str = "ocr_text") -> DataFrame:
         )
     )
     links = F.transform(F.slice(urls(text), 1, 3), lambda u: R.finding("ocr_url", "url_detector", "medium", 0.5, None, u))
-    df = df.withColumn("ocr_found", F.concat(OCR_INSTRUCTION.find(low, "ocr"), encoded, links, OCR_KEYWORD.find(low, "ocr")))
-    risk = F.greatest(R.top(F.col("ocr_found")), F.lit(OCR_BASELINE))
-    empty = R.result("ocr_content_analyzer", "low", OCR_BASELINE, 0.8, F.array(R.finding("empty_ocr", "ocr_content_analyzer", "low", None)), "Image processed but no text extracted.")
+    df = df.withColumn("t_ocr_lower", low).withColumn("ocr_found", F.concat(OCR_INSTRUCTION.find("t_ocr_lower", "ocr"), encoded, links, OCR_KEYWORD.find("t_ocr_lower", "ocr")))
+    risk = F.greatest(R.top(F.col("ocr_found")), F.lit(baseline))
+    empty = R.result("ocr_content_analyzer", "low", baseline, 0.8, F.array(R.finding("empty_ocr", "ocr_content_analyzer", "low", None)), "Image processed but no text extracted.")
     details = F.format_string("Analyzed %d characters: %d finding(s), maximum risk %.2f.", F.length(text), F.size("ocr_found"), risk)
     return df.withColumn("ocr_content_analyzer", F.when(text == "", empty).otherwise(R.result("ocr_content_analyzer", T.level(risk, 0.8, 0.6, 0.4, 0.2), risk, 0.85, F.col("ocr_found"), details)))
 

@@ -10,10 +10,11 @@ import base64
 import re
 from urllib.parse import unquote_plus
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from wardflow.functions import patterns as P
 from wardflow.functions import text as T
@@ -25,10 +26,10 @@ MAX_DEPTH, MAX_SIZE, MIN_RUN = 3, 1_000_000, 20
 MAYBE = r"[A-Za-z0-9+/]{18}(?:[A-Za-z0-9+/]{2}|[A-Za-z0-9+/]?=)|[0-9a-fA-F]{16}|(?:%[0-9a-fA-F]{2}){2}"
 
 
-def runs(text: Column, encoding: str) -> Column:
+def runs(text: Column, encoding: str, least: int = MIN_RUN) -> Column:
     """The runs of an encoding that are long enough, in the order of the text."""
     pattern = next(p for n, p, _ in P.ENCODINGS if n == encoding)
-    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m) >= MIN_RUN)
+    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m) >= least)
 
 
 def decode_once(run: Column, encoding: str) -> Column:
@@ -63,9 +64,12 @@ def _decode(text: str, encoding: str) -> str:
 _PATTERNS = [(n, re.compile(p)) for n, p, _ in P.ENCODINGS]
 
 
-def decode(text: str, encoding: str, strict: bool = True, level: int = 0) -> tuple[str, int]:
-    """(decoded, depth), ("", level) if nothing comes out. The depth grows by two for each level found inside."""
-    if level >= MAX_DEPTH or len(text) > MAX_SIZE:
+def decode(text: str, encoding: str, strict: bool = True, level: int = 0, trace: list[dict] | None = None, most: tuple[int, int] = (MAX_DEPTH, MAX_SIZE)) -> tuple[str, int]:
+    """(decoded, depth), ("", level) if nothing comes out. The depth grows by two for each level found inside.
+
+    ``trace`` gets each step that was taken: encoding, input and output, 100 characters at most. ``most``: levels and characters.
+    """
+    if level >= most[0] or len(text) > most[1]:
         return "", level
     out = _decode(text, encoding)
     if not out or (strict and level and not out.isprintable()):
@@ -73,55 +77,61 @@ def decode(text: str, encoding: str, strict: bool = True, level: int = 0) -> tup
     for name, pattern in _PATTERNS:
         found = pattern.fullmatch(out.strip()) if strict else pattern.search(out)
         if found and (not strict or len(out.strip()) >= MIN_RUN):
-            inner, depth = decode(out, name, strict, level + 1)
+            steps: list[dict] = []
+            inner, depth = decode(out, name, strict, level + 1, steps, most)
             if inner:
+                if trace is not None:
+                    trace += [_step(encoding, text, out), *steps]
                 return inner, depth + 1
+    if trace is not None:
+        trace.append(_step(encoding, text, out))
     return out, level
 
 
-_DECODED = "array<struct<encoding:string,run:string,decoded:string,depth:int,place:int>>"
+def _step(encoding: str, before: str, behind: str) -> dict:
+    return {"encoding": encoding, "input": before[:100], "output": behind[:100]}
+
 
+_TRACE = "array<struct<encoding:string,input:string,output:string>>"
+_DECODED = f"array<struct<encoding:string,run:string,decoded:string,depth:int,place:int,trace:{_TRACE}>>"
 
-def _decoder(strict: bool):
-    """Of an array of [encoding, run] pairs, the depth and the decoded text in one string each."""
 
-    def one(pair: list[str]) -> str:
-        decoded, depth = decode(pair[1], pair[0], strict)
-        return f"{depth}:{decoded}"
+def _decoder(strict: bool, most: tuple[int, int]):
+    """Of an array of runs, those that decode, with their depth and the steps that were taken: one Arrow function."""
+    arrow = to_arrow_type(DataType.fromDDL(_DECODED))
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(found: pd.Series) -> pd.Series:
-        return found.map(lambda r: None if r is None else [one(x) for x in r])
+    def one(run: dict) -> dict | None:
+        trace: list[dict] = []
+        decoded, depth = decode(run["run"], run["encoding"], strict, 0, trace, most)
+        return {**run, "decoded": decoded, "depth": depth, "trace": trace} if decoded else None
 
-    return run
+    @F.arrow_udf(_DECODED)
+    def read(found: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else [d for x in r if (d := one(x))] for r in found.to_pylist()], arrow)
 
+    return read
 
-def with_decoded(df: DataFrame, text_col: str = "t_spaced", mode: str = "strict") -> DataFrame:
-    """Adds ``decoded``: array<struct<encoding, run, decoded, depth, place>> of the runs that decode, by encoding then place.
 
-    ``place`` counts the runs of an encoding from 1, those that don't decode too.
+def with_decoded(df: DataFrame, text_col: str = "t_spaced", mode: str = "strict", settings: dict | None = None) -> DataFrame:
+    """Adds ``decoded``: array<struct<encoding, run, decoded, depth, place, trace>> of the runs that decode, by encoding then place.
 
-    Rows without a run of any encoding never leave the JVM.
+    ``place`` counts the runs of an encoding from 1, those that don't decode too; ``trace`` has the steps of decoding.
+    ``settings``: max_recursion_depth, max_decode_size, min_pattern_length. Rows without a run of any encoding never leave the JVM.
     """
     if mode not in ("strict", "compat"):
         raise ValueError("mode is strict or compat")
+    settings = settings or {}
+    least = settings.get("min_pattern_length", MIN_RUN)
+    most = settings.get("max_recursion_depth", MAX_DEPTH), settings.get("max_decode_size", MAX_SIZE)
     text = F.col(text_col)
 
     def named(encoding: str) -> Column:
-        return F.transform(runs(text, encoding), lambda m, i: F.struct(F.lit(encoding).alias("encoding"), m.alias("run"), (i + 1).alias("place")))
+        return F.transform(runs(text, encoding, least), lambda m, i: F.struct(F.lit(encoding).alias("encoding"), m.alias("run"), (i + 1).alias("place")))
 
     found = F.concat(*[named(n) for n, _, _ in P.ENCODINGS])
-    maybe = F.rlike(text, F.lit(MAYBE))
-    df = df.withColumn("runs", F.when(maybe, found))
-    pairs = F.when(F.size("runs") > 0, F.transform("runs", lambda r: F.array(r["encoding"], r["run"])))
-    df = df.withColumn("decoded", _decoder(mode == "strict")(pairs))
-
-    def row(r: Column, d: Column) -> Column:
-        depth, text = F.substring_index(d, ":", 1).cast("int"), F.substring(d, F.instr(d, ":") + 1, F.length(d))
-        return F.struct(r["encoding"].alias("encoding"), r["run"].alias("run"), text.alias("decoded"), depth.alias("depth"), r["place"].alias("place"))
-
-    some = F.filter(F.zip_with("runs", "decoded", row), lambda d: d["decoded"] != "")
-    return df.withColumn("decoded", F.coalesce(some, F.array()).cast(_DECODED))
+    df = df.withColumn("runs", F.when(F.rlike(text, F.lit(MAYBE)), found) if least >= MIN_RUN else found)
+    some = _decoder(mode == "strict", most)(F.when(F.size("runs") > 0, F.col("runs")))
+    return df.withColumn("decoded", F.coalesce(some, F.array().cast(_DECODED)))
 
 
 def decoded_text(decoded: Column) -> Column:

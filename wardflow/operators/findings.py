@@ -9,8 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardflow.functions import text as T
-from wardflow.functions.literals import may_match, may_match_sql, quoted
+from wardflow.functions.literals import may_match_sql, quoted
 
 FINDING = "struct<type:string,detector:string,severity:string,risk_score:double,pattern:string,matched_text:string,label:string,channel:string>"
 FINDINGS = f"array<{FINDING}>"
@@ -45,50 +44,36 @@ class Family:
     detector: str
     #: (pattern, score, label); a score of None is given by ``scored``.
     patterns: Sequence[tuple]
-    severity: Callable[[float, Column], str | Column] | str = "high"
+    severity: Callable[[float], str] | str = "high"
     #: Matches that count for each pattern; none for all.
     most: int | None = None
     flags: str = "(?i)"
-    scored: Callable[[Column], Column] | None = None
+    #: SQL of the score, and of the severity, of a match ``m``.
+    scored: str | None = None
+    graded: str | None = None
     shown: int = 1_000_000
 
-    def find(self, text: Column, channel: str | Column | None = None, low: Column | None = None) -> Column:
-        """Findings in the order of the patterns, then of the text; empty for null text.
+    def find(self, text: str, channel: str | None = None, low: str | None = None) -> Column:
+        """Findings in the column ``text``, in the order of the patterns, then of the text; empty for null text.
 
-        ``low``: the text in lower case, if ``text`` isn't. A pattern is only tried where one of its literals stands.
+        ``low``: the column of the text in lower case, if ``text`` isn't. A pattern is only tried where one of its literals stands.
         """
-        low = text if low is None else low
-        names = text._jc.toString(), low._jc.toString()
-        if not self.scored and not isinstance(channel, Column) and all(re.fullmatch(r"t_\w+", n) for n in names):
-            return F.expr(self.sql(*names, channel))
-
-        def one(pattern: str, score: float | None, label: str | None) -> Column:
-            def row(m: Column) -> Column:
-                value = self.scored(m) if self.scored else F.lit(score)
-                severity = self.severity if isinstance(self.severity, str) else self.severity(score, m)
-                return finding(self.kind, self.detector, severity, value, pattern, F.left(m, F.lit(self.shown)), label, channel)
-
-            found = F.transform(T.hits(text, pattern, self.most, self.flags), row)
-            may = may_match(low, [pattern])
-            return found if may is None else F.when(may, found).otherwise(none())
-
-        every = F.flatten(F.array(*[one(p, s, label) for p, s, label in self.patterns]))
-        may = may_match(low, [p for p, _, _ in self.patterns])
-        given = text.isNotNull() if may is None else may
-        return F.when(given, every).otherwise(none())
+        return F.expr(self.sql(text, text if low is None else low, channel))
 
     def sql(self, text: str, low: str, channel: str | None = None) -> str:
-        """The same as one text of Spark SQL: plans of hundreds of patterns are built some ten times as fast."""
+        """The same as text of Spark SQL: plans of hundreds of patterns are built some ten times as fast as by calls."""
         lit = lambda x: "CAST(NULL AS STRING)" if x is None else quoted(x)
         none = f"CAST(array() AS {FINDINGS})"
         parts = []
         for pattern, score, label in self.patterns:
-            found = f"regexp_extract_all({text}, {quoted(self.flags + pattern)}, 0)"
+            # In a text that is in lower case already, ignoring case would only cost time.
+            plain = text == low and self.flags == "(?i)" and not re.search(r"(?<!\\)[A-Z]", pattern)
+            found = f"regexp_extract_all({text}, {quoted(pattern if plain else self.flags + pattern)}, 0)"
             if self.most:
                 found = f"slice({found}, 1, {self.most})"
-            severity = self.severity if isinstance(self.severity, str) else self.severity(score, None)
-            risk = "CAST(NULL AS DOUBLE)" if score is None else f"{score}D"
-            row = f"named_struct('type', {lit(self.kind)}, 'detector', {lit(self.detector)}, 'severity', {lit(severity)}, 'risk_score', {risk}, 'pattern', {lit(pattern)}, 'matched_text', left(m, {self.shown}), 'label', {lit(label)}, 'channel', {lit(channel)})"
+            severity = self.graded or lit(self.severity if isinstance(self.severity, str) else self.severity(score))
+            risk = self.scored or ("CAST(NULL AS DOUBLE)" if score is None else f"{score}D")
+            row = f"named_struct('type', {lit(self.kind)}, 'detector', {lit(self.detector)}, 'severity', {severity}, 'risk_score', {risk}, 'pattern', {lit(pattern)}, 'matched_text', left(m, {self.shown}), 'label', {lit(label)}, 'channel', {lit(channel)})"
             parts.append(f"CASE WHEN {may_match_sql(low, [pattern])} THEN transform({found}, m -> {row}) ELSE {none} END")
         return f"CASE WHEN {text} IS NOT NULL AND {may_match_sql(low, [p for p, _, _ in self.patterns])} THEN flatten(array({', '.join(parts)})) ELSE {none} END"
 
@@ -96,7 +81,7 @@ class Family:
         """Findings of all elements of an array column, one element behind the other; ``low`` is SQL of an element ``x``."""
         return F.expr(f"flatten(transform({elements}, x -> {self.sql('x', low, channel)}))")
 
-    def count(self, text: Column) -> Column:
+    def count(self, text: str) -> Column:
         return F.size(self.find(text))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions import patterns as P
 from wardflow.functions.ranks import hash_ranked
+from wardflow.functions.runtime import materialize
 from wardflow.operators import findings as R
 
 #: The features, in the order that a model expects.
@@ -166,6 +168,30 @@ def importances(model: PipelineModel, most: int = 10) -> list[tuple[str, float]]
     return sorted(zip(FEATURES, map(float, values)), key=lambda x: -x[1])[:most]
 
 
+def assign_splits(rows: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Rows of (text, label, source, type) with a key by content, balanced and split 80 / 10 / 10; equal rows are one."""
+    keyed = rows.filter("text IS NOT NULL AND label IS NOT NULL").withColumn(key, F.md5(F.concat_ws("\x1f", "source", "type", F.col("label").cast("string"), "text"))).dropDuplicates([key])
+    return stratified(balanced(keyed, key), key)
+
+
+def train_pipeline(rows: DataFrame, featured: Callable[[DataFrame], DataFrame], folder: str | None = None, kind: str = "random_forest", trees: int = 200, depth: int = 15) -> tuple[PipelineModel, dict]:
+    """Loaded samples (text, label, source, type) to a model, with its metrics on the validation and test rows.
+
+    Samples are balanced and split, ``featured`` adds the feature columns (``pipeline.sample_features``), the model is fitted on the train
+    rows, and saved in ``folder`` if one is given.
+    """
+    table = materialize(featured(assign_splits(rows)).select("split_name", "label", *FEATURES), "features")
+    model = train(table.filter("split_name = 'train'"), kind, trees, depth)
+    about: dict = {"kind": kind, "train_samples": table.filter("split_name = 'train'").count()}
+    for split in ("val", "test"):
+        said = predict(model, table.filter(F.col("split_name") == split))
+        about |= {f"{split}_{k}": v for k, v in metrics(said).first().asDict().items()} | {f"{split}_auc": area_under_curve(said)}
+    about["importances"] = importances(model)
+    if folder:
+        save(model, folder, about)
+    return model, about
+
+
 def save(model: PipelineModel, folder: str, about: dict | None = None) -> None:
     """The model with its feature names and ``about`` in a JSON file beside it."""
     model.write().overwrite().save(f"{folder}/model")

@@ -107,13 +107,13 @@ def unavailable() -> Column:
     return R.result("semantic_threat_detector", "safe", 0.0, 0.0, note, "Semantic detection skipped - embeddings not available.")
 
 
-def analyze_semantic(df: DataFrame, nearest: DataFrame | None = None, key: str = "input_id") -> DataFrame:
+def analyze_semantic(df: DataFrame, nearest: DataFrame | None = None, key: str = "input_id", threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``semantic_threat_detector``. ``nearest``: (key, category, similarity), a row for each sentence with a vector."""
     if nearest is None:
         return df.withColumn("semantic_threat_detector", unavailable())
-    hits = nearest.filter(F.col("similarity") > THRESHOLD)
+    hits = nearest.filter(F.col("similarity") > threshold)
     found = hits.groupBy(key).agg(F.collect_list(R.finding("semantic_similarity", "semantic_threat_detector", severity(F.col("similarity")), F.col("similarity"), None, None, F.col("category"))).alias("sem_found"))
-    joined = df.join(found, key, "left").join(semantic_risk(category_maxima(nearest, key), key), key, "left")
+    joined = df.join(found, key, "left").join(semantic_risk(category_maxima(nearest, key, threshold), key), key, "left")
     risk, most, n = F.coalesce("risk", F.lit(0.0)), F.coalesce("most", F.lit(0.0)), F.size(F.coalesce("sem_found", R.none()))
     sure = T.cap(F.lit(0.6) + n * F.lit(0.05) + most * F.lit(0.2), 0.85)
     details = F.when(n == 0, "No semantic threats detected.").otherwise(F.format_string("Detected %d semantically similar threat pattern(s). Maximum similarity score: %.2f.", n, most))

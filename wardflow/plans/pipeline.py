@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from wardflow.functions.config import Config
 from wardflow.functions.text import location, with_texts
-from wardflow.operators import context, detectors, encoded, findings, policy, semantic
+from wardflow.operators import context, detectors, encoded, findings, html, learn, policy, semantic
 
 
 def analyze(df: DataFrame, config: Config = Config(), nearest: DataFrame | None = None, decode: str = "strict", parity: bool = True) -> DataFrame:
@@ -18,7 +18,7 @@ def analyze(df: DataFrame, config: Config = Config(), nearest: DataFrame | None
     ``ocr_text``, if it is there, is analyzed too where it isn't empty. With ``parity`` the strength of the intent isn't given
     to the analysis of hidden content.
     """
-    df = encoded.with_decoded(with_texts(df), mode=decode)
+    df = encoded.with_decoded(with_texts(df), mode=decode, settings=config.get("deobfuscation"))
     if config.enabled("active_deobfuscation"):
         df = with_texts(encoded.append_decoded(df))
     df = detectors.classify_intent(df)
@@ -29,10 +29,10 @@ def analyze(df: DataFrame, config: Config = Config(), nearest: DataFrame | None
     if config.enabled("houyi_detection"):
         df = detectors.detect_hijack(df)
     if config.enabled("semantic_detection"):
-        df = semantic.analyze_semantic(df, nearest)
+        df = semantic.analyze_semantic(df, nearest if config.get("semantic_analysis", "enabled", default=True) else None, threshold=config.get("semantic_analysis", "similarity_threshold", default=semantic.THRESHOLD))
     df = encoded.analyze_encoded(df)
-    if "ocr_text" in df.columns and config.enabled("ocr_analysis"):
-        df = detectors.analyze_ocr(df)
+    if "ocr_text" in df.columns and config.enabled("ocr_analysis") and config.get("ocr_analysis", "enabled", default=True):
+        df = detectors.analyze_ocr(df, baseline=config.get("ocr_analysis", "baseline_risk", default=detectors.OCR_BASELINE))
         df = df.withColumn("ocr_content_analyzer", F.when(F.trim("ocr_text") != "", F.col("ocr_content_analyzer")))
     return df
 
@@ -50,6 +50,12 @@ def assess(df: DataFrame, name: str = "effective", config: Config = Config(), ne
     return policy.decide(df, name, config)
 
 
+def sample_features(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of samples with the module results and the feature columns of their texts, read as HTML where they hold tags."""
+    read = html.extract(rows.withColumn("input_id", F.monotonically_increasing_id()), text_col)
+    return learn.with_features(analyze(read), text_col, "metadata")
+
+
 def findings_type() -> StructType:
     return StructType.fromDDL(findings.FINDING)
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wardflow.functions.config import Config
@@ -39,31 +35,16 @@ def event_rates(events: DataFrame, time_col: str = "logged_at", size: str = "5 m
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "n_events")
 
 
-_STATE = "applied_at timestamp, restriction_id long, mode string"
-_LATEST = "session_id string, restriction_id long, restriction_mode string, applied_at timestamp"
-
-
 def latest_restrictions_stream(history: DataFrame) -> DataFrame:
-    """The latest restriction of each session seen so far, given again whenever it changes (update mode).
+    """The latest restriction of each session seen so far, given again with each batch that has rows of the session (update mode).
 
-    State is one row a session; of equal times the larger restriction_id stays. Rows without session are dropped.
+    State is one row a session, kept by a maximum in the JVM; of equal times the larger restriction_id stays. Rows without session
+    or time are dropped.
     """
-
-    def keep(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        changed = False
-        for batch in rows:
-            for t, i, mode in zip(batch["applied_at"], batch["restriction_id"], batch["restriction_mode"]):
-                if pd.isna(t):
-                    continue
-                if best is None or (pd.Timestamp(t), i) > (pd.Timestamp(best[0]), best[1]):
-                    best, changed = (pd.Timestamp(t).to_pydatetime(), int(i), mode), True
-        if changed:
-            state.update(best)
-            yield pd.DataFrame({"session_id": [key[0]], "restriction_id": [best[1]], "restriction_mode": [best[2]], "applied_at": [best[0]]})
-
-    grouped = history.filter("session_id IS NOT NULL").select("session_id", "restriction_id", "restriction_mode", "applied_at").groupBy("session_id")
-    return grouped.applyInPandasWithState(keep, _LATEST, _STATE, "update", GroupStateTimeout.NoTimeout)
+    order = F.struct("applied_at", "restriction_id")
+    rows = history.filter("session_id IS NOT NULL AND applied_at IS NOT NULL")
+    latest = rows.groupBy("session_id").agg(F.max_by(F.struct("restriction_id", "restriction_mode", "applied_at"), order).alias("r"))
+    return latest.select("session_id", "r.restriction_id", "r.restriction_mode", F.col("r.applied_at").cast("timestamp").alias("applied_at"))
 
 
 def write_stream(df: DataFrame, folder: str, name: str, sink: str = "json", mode: str = "append", once: bool = True) -> StreamingQuery:
