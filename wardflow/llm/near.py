@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,17 +35,18 @@ def signatures(texts: DataFrame, min_words: int) -> DataFrame:
 
 
 def _exactly(threshold: float):
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pairs in batches:
             known: dict[str, Counter] = {}
 
             def count(text: str) -> Counter:
-                if text not in known:
-                    known[text] = Counter(words(text))
-                return known[text]
+                found = known.get(text)
+                if found is None:
+                    found = known[text] = Counter(words(text))
+                return found
 
-            keep = [shared(count(x), count(y)) >= threshold for x, y in zip(pairs["text_a"], pairs["text_b"])]
-            yield pairs.loc[keep, ["a", "b"]]
+            keep = [shared(count(x), count(y)) >= threshold for x, y in zip(pairs.column(2).to_pylist(), pairs.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pairs.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     return check
 
@@ -62,7 +63,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         y = texts.repartition(partitions(pairs.sparkSession), "id")
         x = pairs.join(y.withColumnRenamed("id", "a"), "a")
     both = x.withColumnRenamed("text", "text_a").join(y.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_exactly(threshold), "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_exactly(threshold), "a long, b long")
 
 
 def _likely(threshold: float):

@@ -28,8 +28,9 @@ SKETCH_BITS = 256
 LONGS = SKETCH_BITS // 64
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
-_MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
-_ADD = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
+#: Samples are of 32 bits, of which processors multiply several at once; a text has too few tokens for that to matter.
+_MUL = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _BIT_MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
 _ROW_MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
 #: Words kept with their hashes in a worker, and tokens signed at once; both only bound memory.
@@ -85,12 +86,15 @@ def _tokens(counts: list[Counter], memo: _Hashes) -> tuple[np.ndarray, np.ndarra
 def _sign(counts: list[Counter], memo: _Hashes) -> dict[str, np.ndarray]:
     x, starts = _tokens(counts, memo)
     docs = len(counts)
-    low = np.empty((docs, SAMPLES), np.uint64)
-    hashed = np.empty_like(x)
+    samples = np.empty((SAMPLES, docs), np.uint32)
+    short = (x >> _U(32)).astype(np.uint32)
+    hashed = np.empty_like(short)
     for i in range(SAMPLES):
-        np.multiply(x, _MUL[i], out=hashed)
+        np.multiply(short, _MUL[i], out=hashed)
         np.add(hashed, _ADD[i], out=hashed)
-        low[:, i] = np.minimum.reduceat(hashed, starts)
+        np.minimum.reduceat(hashed, starts, out=samples[i])
+    # The sample's own number is part of it, so that equal values of different samples differ.
+    low = samples.T.astype(np.uint64) | (np.arange(SAMPLES, dtype=np.uint64) << _U(32))
     bit = ((_mix(low) * _BIT_MUL) >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
     odd = np.bincount((bit + np.arange(docs)[:, None] * SKETCH_BITS).ravel(), minlength=docs * SKETCH_BITS) & 1
     longs = np.packbits(odd.astype(np.uint8).reshape(docs, SKETCH_BITS), axis=1).view(np.int64)
