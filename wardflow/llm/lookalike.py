@@ -45,6 +45,8 @@ _SIGNS = {"\u02d7": "-", "\u2010": "-", "\u2011": "-", "\u2212": "-", "\u2026":
 #: Ranges of common characters that are all stable: ASCII without carriage return, the Latin letters of
 #: Europe with their accents, Kana, and the usual Kanji.
 STABLE = r"\x00-\x0C\x0E-\x7F\u00A1-\u00AC\u00AE-\u017F\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u30FC\u4E00-\u9FFF"
+#: The same in Java, for a whole text: one greedy loop over it, which tells printable ASCII by its first comparison.
+_ALL_STABLE = rf"\A[ -~[{STABLE}]]*\z"
 #: Scripts in which joiners change how letters are drawn.
 _JOINING = re.compile(r"[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u17ff\u1800-\u18af]")
 _EMOJI = re.compile(r"[\u2600-\u27bf\u2b00-\u2bff\ufe0f\U0001f000-\U0001faff]")
@@ -177,7 +179,7 @@ def with_form(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.col(text_col)
     wide = F.octet_length(text) > F.length(text)
-    unstable = F.contains(text, F.lit("\r")) | (wide & F.rlike(text, F.lit(f"[^{STABLE}]")))
+    unstable = F.contains(text, F.lit("\r")) | (wide & ~F.rlike(text, F.lit(_ALL_STABLE)))
     df = df.withColumn("_unstable", F.coalesce(unstable, F.lit(False)))
     form = F.when(F.col("_unstable"), _forms(F.when(F.col("_unstable"), text))).otherwise(text)
     return df.withColumn("form", form).drop("_unstable")
