@@ -233,6 +233,8 @@ def test_pack(spark):
     assert total == sizes and all(n[i] == -(-s // 100) for i, s in sizes.items())
     assert len(load) <= 1.02 * -(-sum(sizes.values()) // 100) + 1
     assert packing.pack(df.limit(0)).count() == 0
+    named = packing.pack(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), capacity=100).collect()
+    assert {r["doc_id"] for r in named} == {f"d{i}" for i in sizes}
 
 
 # ---- subjects -----------------------------------------------------------------------------------

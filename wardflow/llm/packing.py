@@ -151,7 +151,7 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     size runs out or is left with too few for another, so it is bounded by the capacity, whatever the number of items.
     """
     spark = sizes.sparkSession
-    items = sizes.select(F.col(id_col).cast("long").alias("id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
+    items = sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
     parts = items.select("id", "size", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / capacity) - 1).cast("int"))).alias("piece"))
     parts = parts.withColumn("start_token", F.col("piece") * F.lit(capacity).cast("long"))
     parts = parts.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start_token")).cast("int"))
@@ -159,5 +159,6 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     counts = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     slots = spark.sparkContext.broadcast(_slots(plan(counts, capacity), 0))
     ranked = _ranked(parts, {size: 1 + n // group_rows for size, n in counts.items()})
-    placed = ranked.mapInArrow(_containers(slots), "id long, piece int, start_token long, n_tokens int, container long")
+    id_type = sizes.schema[id_col].dataType.simpleString()
+    placed = ranked.mapInArrow(_containers(slots), f"id {id_type}, piece int, start_token long, n_tokens int, container long")
     return placed.withColumnRenamed("id", id_col)
