@@ -4,11 +4,13 @@ import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wardflow.functions.runtime import shared_dir
 from wardflow.llm import components, copies, mixture, near, overlap, packing, sketch, subjects
 from wardflow.llm.words import shared, words
 
@@ -101,6 +103,60 @@ def test_near_groups_of_nothing(spark):
     assert near.near_groups(spark.createDataFrame([(1, None), (2, "short")], "doc_id long, text string")).count() == 0
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_large_buckets_of_unlike_texts_are_not_copied_to_every_partition(spark, monkeypatch):
+    """Buckets above ``whole_bucket`` whose rows are not alike; at 6 GB such are common, and each row went to every shuffle partition."""
+    rng = random.Random(12)
+    common = rng.choices(WORDS, k=45)  # 45 of 61 words are shared
+    rows = [(i, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(8)])) for i in range(120)]
+    links = near.links
+    monkeypatch.setattr(near, "links", lambda *a: links(*a, whole_bucket=8))
+    keep, shared = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}, Path(shared_dir(spark).removeprefix("file://"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).localCheckpoint()
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, there = shuffled_rows(spark), set(shared.iterdir())
+        assert near.near_groups(df, threshold=0.98).count() == 0
+        moved = sum(n for s, n in shuffled_rows(spark).items() if s not in before)
+        names = {p.name.split("-", 1)[1].rsplit("-", 1)[0] for p in set(shared.iterdir()) - there}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert moved < 6 * sketch.BANDS * len(rows)
+    assert not names & {"signatures", "distinct", "met", "named", "left-out"}  # deleted when they were read
+
+
+@pytest.mark.parametrize(("block_rows", "a_partition"), [(5, 20_000), (1 << 14, 1)])
+def test_near_groups_in_blocks_and_parts(spark, monkeypatch, block_rows, a_partition):
+    monkeypatch.setattr(near, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(near, "PASS_TEXTS", 20)
+    monkeypatch.setattr(near, "PAIRS_A_PARTITION", a_partition)
+    monkeypatch.setattr(near, "MAX_PAIRS", 3)
+    monkeypatch.setattr(near, "HOT_ROWS", 30)
+    rows = corpus(7, 12)
+    links = near.links
+    monkeypatch.setattr(near, "links", lambda *a: links(*a, whole_bucket=2))
+    assert {tuple(r) for r in near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == groups_by_force(rows)
+
+
+def test_sketches_tell_unlike_texts():
+    """Pairs that meet in a band by chance grow with the square of the input; hardly any may pass."""
+    rng = random.Random(13)
+    rows = [rng.choices(WORDS, k=25) + [f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(300)]
+    signed = sketch._sign([Counter(x) for x in rows], sketch._Hashes())
+    longs = np.stack([signed[f"s{i}"] for i in range(sketch.LONGS)], 1).view(np.uint64)
+    differ = sum(np.bitwise_count(longs[:, None, i] ^ longs[None, :, i]).astype(int) for i in range(sketch.LONGS))
+    assert (differ[np.triu_indices(len(rows), 1)] <= sketch.limit(0.8)).sum() == 0
+
+
 def test_sketches_estimate_similarity():
     rng = random.Random(6)
     rows = [rng.choices(WORDS, k=60) for _ in range(40)]

@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIR: str | None = None
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +46,22 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _TABLES[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables returned by :func:`materialize` now; nothing that is still to run may read them."""
+    for table in tables:
+        path = _TABLES.pop(table)
+        _WRITTEN.remove((table.sparkSession, path))
+        _delete(table.sparkSession, path)
 
 
 def scratch(spark: SparkSession, name: str = "files") -> str:
@@ -59,9 +76,7 @@ def release() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             pass
 

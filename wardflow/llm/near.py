@@ -1,21 +1,22 @@
 """Near-duplicate records with small edits (problem 2).
 
 Texts are linked if the words common to both, counted with repetition, are at least ``threshold`` of all
-words of both. Links come from banded MinHash candidates, pruned by the XOR population count of their odd
-sketches, and an exact check of the words of every candidate left.
+words of both. Links come from banded MinHash candidates, pruned by the XOR population count of their parity
+bitmaps, and an exact check of the words of every candidate left.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardflow.functions.runtime import materialize, partitions
+from wardflow.functions.runtime import discard, materialize, partitions
 from wardflow.llm import sketch
 from wardflow.llm.components import components
 from wardflow.llm.copies import members
@@ -24,8 +25,14 @@ from wardflow.llm.words import shared, words
 _SKETCH = [f"s{i}" for i in range(sketch.LONGS)]
 #: Pairs of ids that are broadcast at most; 16 MB.
 MAX_PAIRS = 1_000_000
+#: Pairs for each shuffle partition that take their texts along at once; 10 MB or so.
+PAIRS_A_PARTITION = 20_000
 #: A band key of fewer rows is never hot.
 HOT_ROWS = 1000
+#: Bands are met in up to so many passes, one for each PASS_TEXTS, so that only this part of the band rows is on disk at once.
+PASSES, PASS_TEXTS = 4, 250_000
+#: Rows of a large bucket that meet as many others in one task.
+BLOCK_ROWS = 1 << 14
 
 
 def signatures(texts: DataFrame, min_words: int) -> DataFrame:
@@ -54,18 +61,31 @@ def _exactly(threshold: float):
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The candidate ``pairs`` (a, b), written, whose words of ``texts`` (id, text) really share ``threshold``.
 
-    Up to MAX_PAIRS pairs are broadcast, and only texts of candidates travel; above, all texts are shuffled once for both joins.
+    Up to MAX_PAIRS pairs are broadcast, and only texts of candidates travel; above, all texts are shuffled once for both joins. As a
+    pair takes a text along, more than PAIRS_A_PARTITION for each shuffle partition are checked in parts, one after the other.
     """
-    if pairs.limit(MAX_PAIRS + 1).count() <= MAX_PAIRS:
+    if (total := pairs.count()) <= MAX_PAIRS:
         x = texts.withColumnRenamed("id", "a").join(F.broadcast(pairs), "a")
         y = texts.join(F.broadcast(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi")
-    else:
-        y = texts.repartition(partitions(pairs.sparkSession), "id")
-        x = pairs.join(y.withColumnRenamed("id", "a"), "a")
+        return _checked(x, y, threshold)
+    n = partitions(pairs.sparkSession)
+    y = texts.repartition(n, "id")
+    parts = -(-total // (n * PAIRS_A_PARTITION))
+    if parts == 1:
+        return _checked(pairs.join(y.withColumnRenamed("id", "a"), "a"), y, threshold)
+    of_part = (pairs.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == k).join(y.withColumnRenamed("id", "a"), "a") for k in range(parts))
+    return _all([materialize(_checked(x, y, threshold), "checked") for x in of_part])
+
+
+def _checked(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
     both = x.withColumnRenamed("text", "text_a").join(y.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_exactly(threshold), "a long, b long")
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _likely(threshold: float):
     """A condition on rows x and y: their lengths and sketches allow the similarity."""
     low = F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")
@@ -77,7 +97,7 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
 
 
 def hot_keys(bands: DataFrame, share: float = 0.001, slots: int = 1 << 14) -> DataFrame | None:
-    """(key) of every band key that holds more than ``share`` of all rows of ``bands`` (and HOT_ROWS), at most 1 / share; none if there is none.
+    """(key), written, of every band key that holds more than ``share`` of all rows of ``bands`` (and HOT_ROWS), at most 1 / share; none if there is none.
 
     Rows are first counted by slots of keys, which is a small table by partial aggregation; only keys of slots that are so large are
     counted themselves. So finding them is exact and shuffles no row.
@@ -100,44 +120,86 @@ def in_blocks(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
     return dealt.join(copied, ["key", "block"]).drop("block")
 
 
+def _pass(reps: DataFrame, k: int, passes: int, *more: str) -> DataFrame:
+    """The band rows of pass ``k`` of ``passes``: key, id, n, sketch and the columns ``more``."""
+    size = -(-sketch.BANDS // passes)
+    return reps.select(F.explode(F.slice("keys", 1 + k * size, size)).alias("key"), "id", "n", *_SKETCH, *more)
+
+
+def _met(rows: DataFrame, threshold: float, whole_bucket: int, passes: int) -> DataFrame:
+    """Candidates (a, b) of the band rows ``rows``: all pairs of a bucket of up to ``whole_bucket`` rows, those with its smallest id of a larger one.
+
+    A larger bucket also gives one row (a, a, key, c) of its smallest id and its number of rows. key and c are null of a candidate.
+    """
+    spark = rows.sparkSession
+    parts = max(partitions(spark) // passes, min(partitions(spark), spark.sparkContext.defaultParallelism))
+    of_key = Window.partitionBy("key")
+    sized = rows.repartition(parts, "key").withColumns({"c": F.count(F.lit(1)).over(of_key), "least": F.min("id").over(of_key)}).filter("c > 1")
+    x = _side(sized.filter((F.col("c") <= whole_bucket) | (F.col("id") == F.col("least"))).drop("least"), "x")
+    y = _side(sized.drop("least", "c"), "y")
+    mark = (F.col("x_c") > whole_bucket) & (F.col("x_id") == F.col("y_id"))
+    met = x.join(y, "key").filter(mark | ((F.col("x_id") < F.col("y_id")) & _likely(threshold)))
+    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.when(mark, F.col("key")).alias("key"), F.when(mark, F.col("x_c")).alias("c")).distinct()
+
+
+def _met_hot(reps: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """As :func:`_met` of the keys ``hot``, all large, whose rows are not shuffled."""
+    bands = reps.select(F.explode("keys").alias("key"), "id", "n", *_SKETCH).join(F.broadcast(hot), "key")
+    centre = bands.groupBy("key").agg(F.min_by(F.struct("id", "n", *_SKETCH), "id").alias("r"), F.count(F.lit(1)).alias("c"))
+    centre = materialize(centre.select("key", "c", "r.*"), "centres")
+    star = _side(bands, "y").join(F.broadcast(_side(centre, "x")), "key").filter("x_id < y_id").filter(_likely(threshold))
+    star = star.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("c")).distinct()
+    return star.unionByName(centre.select(F.col("id").alias("a"), F.col("id").alias("b"), "key", "c"))
+
+
+def _grid(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    """One side of a join in a grid: a bucket of c rows has ceil(c / BLOCK_ROWS) blocks, a row is in one of them and goes to each of the other side."""
+    blocks = F.ceil(F.col("c") / BLOCK_ROWS)
+    placed = rows.withColumns({own: F.pmod(F.xxhash64("id"), blocks), other: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}).drop("c")
+    return placed.select("key", "i", "j", *(F.col(x).alias(f"{name}_{x}") for x in placed.columns if x not in ("key", "i", "j")))
+
+
+def _left_out(rows: DataFrame, large: DataFrame, few: bool, threshold: float) -> DataFrame:
+    """Candidates (a, b) of the band rows ``rows`` in the buckets ``large`` (key, c, heart): rows of another root than the heart, with all rows of another root than their own."""
+    rows = rows.join(F.broadcast(large) if few else large, "key")
+    outside = F.col("root") != F.col("heart")
+    still = materialize(rows.filter(outside).select("key").distinct(), "open-keys")  # a bucket that its smallest id connects is done
+    rows = rows.join(F.broadcast(still) if few else still, "key", "left_semi").withColumn("outside", outside).drop("heart")
+    met = _grid(rows.filter("outside"), "x", "i", "j").join(_grid(rows, "y", "j", "i"), ["key", "i", "j"])
+    met = met.filter("x_root <> y_root AND (x_id < y_id OR NOT y_outside)").filter(_likely(threshold))
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
 def links(reps: DataFrame, texts: DataFrame, threshold: float, whole_bucket: int = 64) -> DataFrame:
-    """Verified links (a, b) that connect all similar texts among ``reps`` (signatures of distinct texts).
+    """Verified links (a, b) that connect all similar texts among ``reps`` (signatures of distinct texts), written.
 
     Within a bucket of up to ``whole_bucket`` rows each pair is a candidate. In a larger one every row is
     first compared with the row of smallest id; what this connects needs no more links among itself, so
-    that only rows it left out meet all others, in blocks. This is exact, and a bucket of near-copies, however
-    large, costs one comparison a row. Hot buckets are told apart before the others are counted, so that none is brought into one task.
+    that only rows it left out meet all others, in a grid of blocks as fine as the bucket is large. This is exact, and a bucket of
+    near-copies, however large, costs one comparison a row. Hot buckets are told apart before the others are counted, so that none is
+    brought into one task. Band rows are made and met in passes, of which only candidates stay.
     """
-    spark = reps.sparkSession
-    n = partitions(spark)
-    bands = reps.select(F.explode("keys").alias("key"), "id", "n", *_SKETCH)
-    hot = hot_keys(bands)
-    rest = bands.join(F.broadcast(hot), "key", "left_anti") if hot else bands
-    sized = rest.repartition(n, "key").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
-    small = sized.filter(F.col("c") <= whole_bucket).drop("c")
-    pairs = _side(small, "x").join(_side(small, "y"), "key").filter(F.col("x_id") < F.col("y_id")).filter(_likely(threshold))
-    pairs = materialize(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "pairs")
-    found = materialize(verify(pairs, texts, threshold), "links")
-    big = sized.filter(F.col("c") > whole_bucket).drop("c")
+    hot = hot_keys(reps.select(F.explode("keys").alias("key")))
+    passes, met = min(PASSES, -(-reps.count() // PASS_TEXTS) or 1), []
+    for k in range(passes):
+        rows = _pass(reps, k, passes)
+        met.append(materialize(_met(rows.join(F.broadcast(hot), "key", "left_anti") if hot else rows, threshold, whole_bucket, passes), "met"))
     if hot:
-        big = big.unionByName(bands.join(F.broadcast(hot), "key", "left_semi"))
-    big = materialize(big, "big-buckets")
-    if big.isEmpty():
+        met.append(materialize(_met_hot(reps, hot, threshold), "met"))
+    pairs = materialize(_all(met).filter("a < b").select("a", "b").distinct(), "pairs")
+    large = materialize(_all(met).filter("a = b").select("key", "c", F.col("a").alias("id")), "large-buckets")
+    discard(*met)
+    found = materialize(verify(pairs, texts, threshold), "links")
+    n_large = large.count()
+    if not n_large:
         return found
-    centre = big.groupBy("key").agg(F.min_by(F.struct("id", "n", *_SKETCH), "id").alias("r")).select("key", "r.*")
-    star = _side(big, "y").join(_side(centre, "x"), "key").filter("x_id <> y_id").filter(_likely(threshold))
-    star = materialize(star.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "star")
-    found = materialize(found.unionByName(verify(star, texts, threshold)), "links")
     roots = components(found)
-    named = big.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heart = centre.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("heart"))
-    named = materialize(named.join(heart, "key"), "named")
-    left_out = materialize(named.filter("root <> heart").drop("heart"), "left-out")
-    if left_out.isEmpty():
-        return found
-    more = in_blocks(_side(left_out, "x"), _side(named.drop("heart"), "y"), n).filter("x_root <> y_root").filter(_likely(threshold))
-    more = more.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    named = materialize(reps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
+    large = materialize(large.join(roots, "id", "left").select("key", "c", F.coalesce("root", "id").alias("heart")), "hearts")
+    left_out = [materialize(_left_out(_pass(named, k, passes, "root"), large, n_large <= MAX_PAIRS, threshold), "left-out") for k in range(passes)]
+    discard(named)
+    more = materialize(_all(left_out).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(*left_out, pairs)
     return materialize(found.unionByName(verify(more, texts, threshold)), "links")
 
 
@@ -151,8 +213,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     signed = signatures(texts, min_words)
     same = materialize(members(signed.select("id", F.col("m1").alias("k1"), F.col("m2").alias("k2"))), "same-words")
-    reps = signed.join(same, "id", "left_anti")
+    reps = materialize(signed.join(same, "id", "left_anti").drop("m1", "m2"), "distinct")
+    discard(signed)
     roots = components(links(reps, texts, threshold))
+    discard(reps)
     # A representative is the smallest id of its copies, so a component's smallest one is its group's.
     through = same.join(roots.select(F.col("id").alias("first_id"), "root"), "first_id", "left")
     copies = through.select(F.coalesce("root", "first_id").alias("first_id"), F.col("id").alias("member_id"))

@@ -1,10 +1,11 @@
-"""MinHash signatures folded to odd sketches, computed for whole Arrow batches.
+"""MinHash signatures folded to parity bitmaps, computed for whole Arrow batches.
 
 A text's words with repetition are a set of (word, occurrence) pairs, so that the Jaccard similarity of
 two such sets is the share of common words counted with repetition. MinHash samples ROWS * BANDS values
-of it. Bands of ROWS samples give keys on which candidates meet; the odd sketch toggles one bit of
-SKETCH_BITS for each sample, so that the population count of two sketches' XOR estimates how many samples
-differ. At similarity 0.8 a pair meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-4; at
+of it. Bands of ROWS samples give keys on which candidates meet; the bitmap has one bit of parity for each
+sample, so that the population count of two bitmaps' XOR is half the number of samples that differ, on
+average. (A bitmap whose bits several samples share lets more unlike pairs pass, and those that meet in a band
+by chance grow with the square of the input.) At similarity 0.8 a pair meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-4; at
 0.9, 4e-10.
 """
 
@@ -24,14 +25,12 @@ from wardflow.llm.words import words
 
 ROWS, BANDS = 6, 28
 SAMPLES = ROWS * BANDS
-SKETCH_BITS = 256
-LONGS = SKETCH_BITS // 64
+LONGS = -(-SAMPLES // 64)
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 #: Samples are of 32 bits, of which processors multiply several at once; a text has too few tokens for that to matter.
 _MUL = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
-_BIT_MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
 _ROW_MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
 #: Words kept with their hashes in a worker, and tokens signed at once; both only bound memory.
 _MEMO, _BLOCK = 200_000, 1 << 14
@@ -39,14 +38,10 @@ _MEMO, _BLOCK = 200_000, 1 << 14
 SCHEMA = "id long, n int, m1 long, m2 long, " + ", ".join(f"s{i} long" for i in range(LONGS)) + ", keys array<long>"
 
 
-def limit(threshold: float, samples: int = SAMPLES, bits: int = SKETCH_BITS, sigmas: float = 4.5) -> int:
+def limit(threshold: float, samples: int = SAMPLES, sigmas: float = 5) -> int:
     """Largest XOR population count that a pair of similarity ``threshold`` reaches, but for ``sigmas`` deviations."""
-    differ = 2 * samples * (1 - threshold)
-    rest = math.exp(-2 * differ / bits)
-    expected = bits / 2 * (1 - rest)
-    spread_samples = 2 * math.sqrt(samples * threshold * (1 - threshold)) * rest
-    spread_bits = math.sqrt(bits / 4 * (1 - rest * rest))
-    return int(expected + sigmas * math.hypot(spread_samples, spread_bits))
+    differ = (1 - threshold) / 2
+    return int(samples * differ + sigmas * math.sqrt(samples * differ * (1 - differ)))
 
 
 def differing(a: str, b: str) -> Column:
@@ -94,11 +89,11 @@ def _sign(counts: list[Counter], memo: _Hashes) -> dict[str, np.ndarray]:
         np.add(hashed, _ADD[i], out=hashed)
         np.minimum.reduceat(hashed, starts, out=samples[i])
     # The sample's own number is part of it, so that equal values of different samples differ.
-    low = samples.T.astype(np.uint64) | (np.arange(SAMPLES, dtype=np.uint64) << _U(32))
-    bit = ((_mix(low) * _BIT_MUL) >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount((bit + np.arange(docs)[:, None] * SKETCH_BITS).ravel(), minlength=docs * SKETCH_BITS) & 1
-    longs = np.packbits(odd.astype(np.uint8).reshape(docs, SKETCH_BITS), axis=1).view(np.int64)
-    bands = (_mix(low) * _ROW_MUL).reshape(docs, BANDS, ROWS).sum(axis=2, dtype=np.uint64)
+    low = _mix(samples.T.astype(np.uint64) | (np.arange(SAMPLES, dtype=np.uint64) << _U(32)))
+    parity = np.zeros((docs, LONGS * 64), np.uint8)
+    parity[:, :SAMPLES] = low >> _U(63)
+    longs = np.packbits(parity, axis=1).view(np.int64)
+    bands = (low * _ROW_MUL).reshape(docs, BANDS, ROWS).sum(axis=2, dtype=np.uint64)
     return {
         "n": np.array([c.total() for c in counts], np.int32),
         "m1": np.add.reduceat(_mix(x + _U(1)), starts).view(np.int64),
